@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, mixing, packing, splitting
+from scriptorium.llm import bpe, mixing, nearness, packing, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = _table(spark, sf_dir, "full_dataset").select(F.col("row_id").alias("id"), "text")
+    return full.unionByName(_table(spark, sf_dir, "parallel_dataset").select(F.col("row_id").alias("id"), F.col("text_content").alias("text")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearness.found(_collection(spark, sf_dir)).select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearness.groups(_collection(spark, sf_dir)).withColumnRenamed("id", "row_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(_table(spark, sf_dir, "full_dataset")).filter("piece = 0").select("row_id")
 
@@ -43,4 +56,4 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill)}
