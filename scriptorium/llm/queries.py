@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, mixing, nearness, packing, splitting
+from scriptorium.llm import bpe, mixing, nearness, overlap, packing, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    train, *evaluation = (_table(spark, sf_dir, name).select(F.col("row_id").alias("id"), "text", F.lit(name).alias("split"), "source") for name in ("train", "val", "test"))
+    return train, evaluation[0].unionByName(evaluation[1])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlap.found(*_splits(spark, sf_dir))
+    return pairs.select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(*_splits(spark, sf_dir))
+
+
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = _table(spark, sf_dir, "full_dataset").select(F.col("row_id").alias("id"), "text")
     return full.unionByName(_table(spark, sf_dir, "parallel_dataset").select(F.col("row_id").alias("id"), F.col("text_content").alias("text")))
@@ -56,4 +70,4 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill)}
