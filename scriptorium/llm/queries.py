@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, mixing, nearness, overlap, packing, splitting
+from scriptorium.llm import bpe, garble, mixing, nearness, overlap, packing, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,5 +69,13 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))[1]
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.repair(_table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.repair(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_repair)}
