@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, garble, mixing, nearness, overlap, packing, splitting
+from scriptorium.llm import bpe, cutoff, garble, mixing, nearness, overlap, packing, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(*_splits(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.detect(_table(spark, sf_dir, "full_dataset_length_balanced"))[0].filter("cut").select("row_id")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.report(_table(spark, sf_dir, "full_dataset_length_balanced"))
+
+
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = _table(spark, sf_dir, "full_dataset").select(F.col("row_id").alias("id"), "text")
     return full.unionByName(_table(spark, sf_dir, "parallel_dataset").select(F.col("row_id").alias("id"), F.col("text_content").alias("text")))
@@ -78,4 +86,4 @@ def p8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_repair)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_repair)}

@@ -25,7 +25,7 @@ P5_MIX = _MIX + "SELECT row_id, source, epoch, size FROM mixed"
 P5_SHARES = (
     _MIX
     + """
-SELECT b.source, b.target_share, round(CAST(coalesce(m.used, 0) AS DOUBLE) / CAST(sum(coalesce(m.used, 0)) OVER () AS DOUBLE), 6) AS actual_share,
+SELECT b.source, b.target_share, round(CAST(coalesce(m.used, 0) AS DOUBLE) / nullif(CAST(sum(coalesce(m.used, 0)) OVER () AS DOUBLE), 0), 6) AS actual_share,
        b.have AS available, b.budget, CAST(coalesce(m.used, 0) AS BIGINT) AS used, coalesce(m.epochs, 0) AS epochs_used, b.max_repeats
 FROM budgets b LEFT JOIN (SELECT source, sum(size) AS used, max(epoch) AS epochs FROM mixed GROUP BY source) m ON b.source = m.source
 """
