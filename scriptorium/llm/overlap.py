@@ -24,6 +24,7 @@ from scriptorium.llm import content as C
 from scriptorium.session import stage
 
 WIDTH = 8  # characters of a segment
+AGREE = 3  # segments that a candidate must share, where so many are sure to survive
 SHORT = 32  # contents below this length use every run of C.RUN characters as a segment
 BLOOM_BITS = 1 << 26  # 8 MB, whatever the size of the data
 BLOOM_PIECE = 1 << 16
@@ -174,16 +175,20 @@ def links(train: DataFrame, evaluation: DataFrame, threshold: float = 0.6, cover
     # A lone edit costs at least 4 of one content's runs and 5 of the other's: with e edits (n - 4e) / (n + 5e) is at least
     # the threshold t, so e <= n (1 - t) / (4 + 5t). A missing block damages fewer segments for the runs that it costs.
     edits = F.floor(F.col("n") * (1 - threshold) / (4 + 5 * threshold)) + 1
-    # Short contents keep all their runs: their edits are too many for a guarantee by disjoint segments.
-    kept = cut.join(common, "segment").withColumn("place", F.row_number().over(rarest)).filter((F.col("n") < SHORT) | (F.col("place") <= edits + 1))
-    kept = stage(kept.select("cls", "r", "segment", "at"), "kept")
+    # With k + t of the segments kept, at least t survive; short contents keep all their runs, of which they share the threshold's part.
+    total = F.ceil(F.col("n") / WIDTH - F.lit((WIDTH - 1) / WIDTH))
+    least = F.when(F.col("n") < SHORT, F.ceil(F.col("r") * threshold - 1e-9)).otherwise(F.greatest(F.lit(1), F.least(F.lit(AGREE), total - edits)))
+    kept = cut.join(common, "segment").withColumn("place", F.row_number().over(rarest)).withColumn("least", least.cast("int")).filter((F.col("n") < SHORT) | (F.col("place") <= edits + F.col("least")))
+    kept = stage(kept.select("cls", "r", "least", "segment", "at"), "kept")
 
     bloom = train.sparkSession.sparkContext.broadcast(_bloom(kept))
     hits = train_texts.select("id", "content").mapInArrow(_substrings(bloom, threshold), "cls bigint, r int, segment bigint, at int")
     right = hits.select(F.col("cls").alias("b"), F.col("r").alias("r_b"), "segment", F.col("at").alias("at_b"))
-    met = kept.select(F.col("cls").alias("a"), F.col("r").alias("r_a"), "segment", F.col("at").alias("at_a")).join(right, "segment")
+    met = kept.select(F.col("cls").alias("a"), F.col("r").alias("r_a"), "least", "segment", F.col("at").alias("at_a")).join(right, "segment")
     # With moved parts every position is allowed, as long as the fewer runs can be enough of the more.
-    met = met.filter((F.col("r_a") >= F.col("r_b") * threshold) & (F.col("r_b") >= F.col("r_a") * threshold)).groupBy("a", "b").agg(F.collect_set(F.col("at_b") - F.col("at_a")).alias("diagonals"))
+    met = met.filter((F.col("r_a") >= F.col("r_b") * threshold) & (F.col("r_b") >= F.col("r_a") * threshold))
+    met = met.groupBy("a", "b", "least").agg(F.collect_set(F.col("at_b") - F.col("at_a")).alias("diagonals"), F.size(F.collect_set("at_a")).alias("agreeing"))
+    met = met.filter("agreeing >= least").drop("least", "agreeing")
     met = stage(met, "met")
     for side in ("a", "b"):
         texts = eval_texts if side == "a" else train_texts
