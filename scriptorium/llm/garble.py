@@ -300,8 +300,11 @@ def _regions(model: Model, text: str) -> list[tuple[int, np.ndarray, np.ndarray]
     data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     at = model.index[data]
     need = -ENTER
-    if _best_stretch(model.top[at]) <= need:
+    hopeful = np.flatnonzero(_through(model.top[None, at])[0] > need)
+    if not len(hopeful):
         return []
+    start = int(hopeful[0])
+    data, at = data[start : hopeful[-1] + 1], at[start : hopeful[-1] + 1]
     ratios = model.ratio[:, at]
     total = np.zeros((len(PAIRS), len(data) + 1), dtype=np.float64)
     np.cumsum(ratios, axis=1, out=total[:, 1:])
@@ -318,7 +321,7 @@ def _regions(model: Model, text: str) -> list[tuple[int, np.ndarray, np.ndarray]
     found = []
     for x, y in zip(begins.tolist(), ends.tolist()):
         use = np.flatnonzero(active[:, x:y].any(axis=1))
-        found.append((x, likely[use], rows[use, x:y]))
+        found.append((start + x, likely[use], rows[use, x:y]))
     return found
 
 
@@ -366,7 +369,7 @@ def _count(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0x110000, dtype=np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, clean = batch.column(0).to_pylist(), []
             for t, spans in zip(texts, label(model, texts) if model is not None else [[]] * len(texts)):
                 if not t:
                     continue
@@ -376,8 +379,9 @@ def _count(model: Model | None):
                         parts.append(t[last:a])
                         last = b
                     t = "".join(parts) + t[last:]
-                values, n = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)
-                seen[values] += n
+                clean.append(t)
+            data = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            seen += np.bincount(data, minlength=0x110000)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["c", "n"])
 
