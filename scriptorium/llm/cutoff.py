@@ -317,7 +317,10 @@ def detect(docs: DataFrame, key: str = "row_id", text: str = "text", source: str
     own = found.groupBy("source").agg(F.collect_list(F.struct("measure", "length_limit", "posterior")).alias("limits"))  # at most 24 of a source
     judged = rows.join(own.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("key", "source", "text", "limits")
 
-    drawn = rows.select("source", "text").withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(sample).select("source", "text").toPandas()
+    # Half as many again as needed pass the hash, wherever they lie, so that each partition sends its part of the sample only.
+    part = min(1.0, 1.5 * sample / max(1, docs.count()))
+    hashed = rows.select("source", "text").withColumn("h", F.xxhash64("text")).filter(F.col("h") <= min(2**63 - 1, int(-(2**63) + part * 2**64)))
+    drawn = hashed.orderBy("h", "text").limit(sample).select("source", "text").toPandas()
     by_source: dict[str | None, list[dict]] = {}
     for r in found.collect():  # at most 24 of a source
         by_source.setdefault(r["source"], []).append(r.asDict())
