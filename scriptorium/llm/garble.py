@@ -137,6 +137,7 @@ class Model:
             self.ratio[k, 1:] = ratio
         self.ratio[:, 0] = -2.0
         self.top = self.ratio.max(axis=0)
+        self.gain = np.maximum(self.top, 0)
         self.chars = [""] + [chr(c) for c in chars]
         self._raw: dict[str, tuple[list[bytes], np.ndarray]] = {}
 
@@ -154,8 +155,6 @@ _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf
 def _placed(model: Model, data: np.ndarray, at: np.ndarray, was: str, as_: str) -> np.ndarray:
     """Which characters (code points and their indexes) stand where this pair's damage could have put them; ASCII ones do."""
     high = data >= 0x80
-    if as_ == "utf-8":
-        return np.ones(len(data), dtype=bool)
     if was != "utf-8":  # two bytes a character: none stands alone
         near = np.zeros(len(data), dtype=bool)
         near[1:] |= high[:-1]
@@ -300,20 +299,28 @@ def _regions(model: Model, text: str) -> list[tuple[int, np.ndarray, np.ndarray]
     data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     at = model.index[data]
     need = -ENTER
+    if model.gain[at].sum() <= need:
+        return []
     hopeful = np.flatnonzero(_through(model.top[None, at])[0] > need)
     if not len(hopeful):
         return []
     start = int(hopeful[0])
     data, at = data[start : hopeful[-1] + 1], at[start : hopeful[-1] + 1]
     ratios = model.ratio[:, at]
-    total = np.zeros((len(PAIRS), len(data) + 1), dtype=np.float64)
-    np.cumsum(ratios, axis=1, out=total[:, 1:])
-    likely = np.flatnonzero((total - np.minimum.accumulate(total, axis=1)).max(axis=1) > need)
+    likely = np.flatnonzero(np.maximum(ratios, 0).sum(axis=1) > need)
+    likely = likely[[_best_stretch(ratios[k]) > need for k in likely.tolist()]] if len(likely) else likely
     if not len(likely):
         return []
     rows = ratios[likely]
+    places: dict[tuple[bool, str], np.ndarray] = {}
     for row, k in zip(rows, likely.tolist()):
-        row[~_placed(model, data, at, PAIRS[k][1], PAIRS[k][2])] = -4.0
+        _, was, as_, _, _ = PAIRS[k]
+        if as_ == "utf-8":
+            continue
+        kind = (True, as_) if was == "utf-8" else (False, "")
+        if kind not in places:
+            places[kind] = ~_placed(model, data, at, was, as_)
+        row[places[kind]] = -4.0
     # A span of a state in the best path pays for entering, so it lies where a stretch that does is possible.
     active = _through(rows) > need
     anywhere = np.concatenate([[False], active.any(axis=0), [False]])
