@@ -97,7 +97,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "punct_ratio": marks / over,
         "avg_word_len": n / F.greatest(words, F.lit(1)).cast("double"),
         "avg_sent_len": n / ends.cast("double"),
-        "char_diversity": F.size(F.array_distinct(F.split(text, ""))) / over,
+        "char_diversity": F.when(n > 0, F.size(F.array_distinct(F.split(text, "")))).otherwise(0) / over,
         "digit_ratio": F.regexp_count(text, F.lit(f"[{DIGIT}]")) / over,
         "english_ratio": F.regexp_count(text, F.lit("[A-Za-z]")) / over,
         "punct_count": marks,
