@@ -101,12 +101,12 @@ class Model:
         total = max(1, sum(counts.values()))
         chars = sorted(counts)
         clean = np.array([counts[c] for c in chars], dtype=float) / total
-        never = np.array([c == 0xFFFD or 0x80 <= c <= 0x9F and c != 0x85 or 0xE000 <= c <= 0xF8FF for c in chars])
+        never = np.array([c == 0xFFFD or 0x80 <= c <= 0x9F and c != 0x85 or 0xE000 <= c <= 0xF8FF for c in chars], dtype=bool)
         self.logs = {chr(c): float(np.log(max(p, LEAST))) for c, p in zip(chars, clean)}
         self.common = {chr(c) for c, p, n in zip(chars, clean, never) if p >= 2e-6 and not n and not (0xA0 < c < 0xC0)}
         clean = np.where(never, LEAST, np.maximum(clean, RARE))
         self.index = np.zeros(0x110000, dtype=np.int32)
-        self.index[chars] = np.arange(1, len(chars) + 1)
+        self.index[np.array(chars, dtype=np.int64)] = np.arange(1, len(chars) + 1)
         self.ratio = np.zeros((len(PAIRS), len(chars) + 1), dtype=np.float32)
         rng = np.random.default_rng(11)
         by_script: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -115,8 +115,8 @@ class Model:
             if len(own):
                 p = np.array([counts[c] for c in own.tolist()], dtype=float) ** 0.75
                 by_script[s] = own, p / p.sum()
-        ascii_ = np.array([c < 0x80 for c in chars])
-        letter = np.array([c < 0x80 and chr(c).isalpha() for c in chars])
+        ascii_ = np.array([c < 0x80 for c in chars], dtype=bool)
+        letter = np.array([c < 0x80 and chr(c).isalpha() for c in chars], dtype=bool)
         for k, (_, was, as_, times, scripts) in enumerate(PAIRS):
             emitted = np.zeros(len(chars))
             used = [s for s in scripts if s in by_script]
