@@ -39,6 +39,22 @@ def debiased(rows: DataFrame, text: str = "text", label: str = "label") -> DataF
     return rows.withColumn(text, F.when(strip, markup.strip_markup(F.col(text))).otherwise(F.col(text)))
 
 
+def rebalanced(rows: DataFrame, id: str, text: str = "text", label: str = "label", share: float = 0.35, seed: int | str = 42) -> DataFrame:
+    """Each class gets markup in floor(share * n) of its texts, as far as dressing gives any.
+
+    Of the texts that have markup, those first in hash order keep it and the others are stripped; if there are too few, the first
+    of the plain texts are dressed with a title. Null labels are a class of their own.
+    """
+    from scriptorium.operators.sampling import ranked
+
+    marked = ranked(rows.withColumn("__md", markup.has_markup(F.col(text))), id, [label, "__md"], seed, "__rank")
+    sizes = marked.groupBy(F.col(label).alias("__y")).agg(F.floor(F.count("*") * share).alias("__goal"), F.count_if("__md").alias("__have"))
+    j = marked.join(sizes, F.col(label).eqNullSafe(F.col("__y")), "left")
+    t = F.col(text)
+    new = F.when(F.col("__md") & (F.col("__rank") > F.col("__goal")), markup.strip_markup(t)).when(~F.col("__md") & (F.col("__rank") <= F.col("__goal") - F.col("__have")), F.concat(F.lit("## "), t)).otherwise(t)
+    return j.withColumn(text, new).drop("__md", "__rank", "__y", "__goal", "__have")
+
+
 def debias_effect(rows: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Bias and rule accuracy before and after, from one scan, and a verdict."""
     after = F.when((F.col(label) == 1) & F.col("before"), markup.has_markup(markup.strip_markup(F.col(text)))).otherwise(F.col("before"))

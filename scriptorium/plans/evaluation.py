@@ -28,6 +28,11 @@ def class_report(spark, d):
     return metrics.report(scored(spark, d))
 
 
+@query(f"WITH {CORPUS} SELECT s.pred, l.quality, l.toxic, count(*) AS n FROM scored s JOIN labels l ON s.id = l.doc_id GROUP BY ALL")
+def prediction_alignment(spark, d):
+    return scored(spark, d).join(table(spark, d, "labels").withColumnRenamed("doc_id", "id"), "id").groupBy("pred", "quality", "toxic").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {CORPUS} SELECT category, count(*) AS n, count(*) FILTER (pred = label) AS n_correct, round(avg(CAST(pred = label AS DOUBLE)), 6) AS accuracy FROM scored WHERE category IN ('C2', 'C3', 'C4', 'Human') GROUP BY category")
 def acc_by_category(spark, d):
     right = F.col("pred") == F.col("label")

@@ -92,6 +92,12 @@ def debias_b(spark, d):
     return audit.debiased(corpus(spark, d)).select("id", "label", "text")
 
 
+@query(f"""WITH {CORPUS}, m AS (SELECT *, {sql_any('text')} AS md FROM corpus), r AS (SELECT *, row_number() OVER (PARTITION BY label, md ORDER BY md5('42|' || CAST(id AS VARCHAR)), id) AS rk, floor(count(*) OVER (PARTITION BY label) * 0.35::DOUBLE) AS goal, count(*) FILTER (md) OVER (PARTITION BY label) AS have FROM m)
+SELECT id, label, CASE WHEN md AND rk > goal THEN {sql_strip('text')} WHEN NOT md AND rk <= goal - have THEN '## ' || text ELSE text END AS text FROM r""")
+def debias_a(spark, d):
+    return audit.rebalanced(corpus(spark, d), "id").select("id", "label", "text")
+
+
 @query(f"""WITH {CORPUS}, m AS (SELECT label AS y, CAST({sql_any('text')} AS INT) AS b, CAST(CASE WHEN label = 1 AND {sql_any('text')} THEN {sql_any(sql_strip('text'))} ELSE {sql_any('text')} END AS INT) AS a FROM corpus),
 s AS (SELECT abs(coalesce(avg(b) FILTER (y = 1), 0) - coalesce(avg(b) FILTER (y = 0), 0)) AS b0, abs(coalesce(avg(a) FILTER (y = 1), 0) - coalesce(avg(a) FILTER (y = 0), 0)) AS b1, avg(CAST(b = y AS DOUBLE)) AS c0, avg(CAST(a = y AS DOUBLE)) AS c1 FROM m)
 SELECT round(b0, 6) AS bias_before, round(b1, 6) AS bias_after, round(b0 - b1, 6) AS bias_drop, round(c0, 6) AS rule_acc_before, round(c1, 6) AS rule_acc_after,

@@ -137,3 +137,26 @@ def generated(prompts: DataFrame, call: Callable[[str], str | None], column: str
             yield batch.assign(result=results)
 
     return prompts.mapInPandas(run, schema)
+
+
+def with_failover(calls: list[Callable[[str], str | None]], attempts: int = 3, pause: Callable[[int], None] | None = None) -> Callable[[str], str | None]:
+    """A generator that tries several in turn, from a place that depends on the prompt, up to so many attempts; null if all fail.
+
+    ``pause`` is called between attempts with their number.
+    """
+    import zlib
+
+    def call(prompt: str) -> str | None:
+        first = zlib.crc32(prompt.encode())
+        for k in range(attempts):
+            try:
+                out = calls[(first + k) % len(calls)](prompt)
+                if out:
+                    return out
+            except Exception:
+                pass
+            if pause:
+                pause(k)
+        return None
+
+    return call

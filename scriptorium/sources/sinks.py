@@ -31,3 +31,19 @@ def report(row: DataFrame) -> DataFrame:
 def split_tables(rows: DataFrame, path: str, split: str = "split") -> None:
     """One folder for each split, from one pass."""
     parquet(rows, path, (split,))
+
+
+def printed(rows: DataFrame, width: int = 18, digits: int = 4) -> DataFrame:
+    """Each row as one line of padded columns: thousands separators for whole numbers, fixed digits for others, a dash for null."""
+    cells = []
+    for f in rows.schema:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        shown = F.format_number(c, 0) if kind in ("integer", "long", "short", "byte") else F.format_number(c, digits) if kind in ("double", "float", "decimal") else c.cast("string")
+        cells.append(F.rpad(F.coalesce(shown, F.lit("-")), width, " "))
+    return rows.select(F.rtrim(F.concat(*cells)).alias("line"))
+
+
+def stamped(rows: DataFrame, column: str = "generated_at") -> DataFrame:
+    """Adds the time of writing in ISO form; it is the same for all rows of a query."""
+    return rows.withColumn(column, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))

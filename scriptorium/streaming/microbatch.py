@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -40,3 +40,26 @@ def progress(rows: DataFrame, target: int, minutes: float) -> DataFrame:
     """Done, failed, rate a minute and what is left."""
     done = F.count_if("success")
     return rows.agg(done.alias("done"), F.count_if(~F.col("success")).alias("failed")).select("done", "failed", F.round(F.col("done") / minutes, 6).alias("per_minute"), F.greatest(F.lit(target) - F.col("done"), F.lit(0)).alias("left"))
+
+
+class Monitor(StreamingQueryListener):
+    """Counts the rows of a session's streams and tells when a target is reached; add it with ``spark.streams.addListener``."""
+
+    def __init__(self, target: int) -> None:
+        self.target, self.rows, self.ended = target, 0, False
+
+    @property
+    def done(self) -> bool:
+        return self.rows >= self.target
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.rows += event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended = True

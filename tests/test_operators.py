@@ -138,6 +138,37 @@ def test_generated_survives_failures(spark):
     assert [r["result"] for r in readers.generated(df, call).collect()] == ["A", None, None]
 
 
+def test_failover():
+    def broken(_):
+        raise RuntimeError
+
+    assert readers.with_failover([broken, lambda p: p + "!"], 3)("a") == "a!"
+    assert readers.with_failover([broken], 2)("a") is None
+
+
+def test_stream_to_a_sink(spark, tmp_path):
+    import time
+
+    spark.range(10).withColumnRenamed("id", "plan_id").write.parquet(str(tmp_path / "in"))
+    monitor = microbatch.Monitor(10)
+    spark.streams.addListener(monitor)
+    q = microbatch.start(spark.readStream.schema("plan_id long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), "plan_id", str(tmp_path / "cp"))
+    q.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+    for _ in range(50):
+        if monitor.done:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(monitor)
+    assert monitor.done
+
+
+def test_printed(spark):
+    row = spark.createDataFrame([(1234567, 0.5, None)], "n long, x double, s string")
+    assert sinks.printed(row, 12).first()["line"] == "1,234,567   0.5000      -"
+    assert len(sinks.stamped(row).first()["generated_at"]) == 19
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", True), (2, None, False)], "id int, text string, success boolean")
     sinks.append(rows, str(tmp_path / "c"))
