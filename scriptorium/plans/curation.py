@@ -35,7 +35,7 @@ def sql_rank(id: str, strata: str = "", seed: str = "42") -> str:
     return f"row_number() OVER ({'PARTITION BY ' + strata if strata else ''} ORDER BY md5('{seed}|' || CAST({id} AS VARCHAR)), {id})"
 
 
-_STD = """std AS (SELECT doc_id AS id, text, coalesce(label, 0) AS label, coalesce(source, 'unknown') AS source, length(text)::INT AS length, md5(text) AS text_hash, 0 AS priority FROM documents
+_STD = """std AS (SELECT -doc_id AS id, text, coalesce(label, 0) AS label, coalesce(source, 'unknown') AS source, length(text)::INT AS length, md5(text) AS text_hash, 0 AS priority FROM documents
 UNION ALL SELECT row_id, text, coalesce(label, 0), coalesce(source, 'unknown'), length(text)::INT, md5(text), 1 FROM full_dataset
 UNION ALL SELECT row_id, text_content, 0, 'unknown', length(text_content)::INT, md5(text_content), 2 FROM parallel_dataset)"""
 _GOOD = f"good AS (SELECT * FROM std WHERE length BETWEEN 50 AND 5000 AND regexp_matches(text, {quoted(f'[^{SPACE}]')}))"
@@ -43,7 +43,8 @@ _FIRST = "kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text
 
 
 def _std(spark, d):
-    frames = [integration.standardized(table(spark, d, "documents"), "doc_id", 0), integration.standardized(table(spark, d, "full_dataset"), "row_id", 1), integration.standardized(table(spark, d, "parallel_dataset").withColumnRenamed("text_content", "text"), "row_id", 2), integration.standardized(table(spark, d, "labels"), "doc_id", 3)]
+    """All sources in one schema; ids of documents are negative, so that no two rows share an id and ranks have no ties."""
+    frames = [integration.standardized(table(spark, d, "documents").withColumn("doc_id", -F.col("doc_id")), "doc_id", 0), integration.standardized(table(spark, d, "full_dataset"), "row_id", 1), integration.standardized(table(spark, d, "parallel_dataset").withColumnRenamed("text_content", "text"), "row_id", 2), integration.standardized(table(spark, d, "labels"), "doc_id", 3)]
     return integration.union(frames)
 
 
