@@ -92,7 +92,7 @@ fin AS (SELECT id, source, label, length, CASE WHEN rk <= ceil(round(ceil(round(
 
 def _integrated(spark, d):
     """Load, standardize, filter, de-duplicate, balance by length, split: one lazy plan, the filter below the aggregation."""
-    kept = integration.first_by_hash(integration.good(_std(spark, d)), ["priority", "id"])
+    kept = integration.first_by_hash(integration.good(_std(spark, d)).drop("text"), ["priority", "id"])
     binned = kept.withColumn("bin", maths.bin_of(F.col("length"), EQUAL_EDGES))
     even = sampling.equal_strata(binned, "id", "label", "bin", 1000, 5)
     return sampling.split(even, "id", ["label"], 0.3, 0.5).select("id", "source", "label", "length", "split")
