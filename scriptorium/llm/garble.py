@@ -35,6 +35,10 @@ PAIRS = tuple(
         ("cp1252", "utf-8", 1, "l"), ("cp1251", "utf-8", 1, "c"), ("cp1251", "cp1252", 1, "c"), ("cp1251", "latin-1", 1, "c"), ("koi8_r", "cp1251", 1, "c"), ("cp1251", "koi8_r", 1, "c"), ("koi8_r", "cp1252", 1, "c"),
     )
 )
+SINGLE = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp437", "koi8_r")
+#: Pairs under which a lone character beyond ASCII says nothing: UTF-8 read by single bytes makes at least two of each, two-byte
+#: encodings are read in pairs, and letters for letters come in words.
+SEVERAL = [k for k, (_, was, as_, _, _) in enumerate(PAIRS) if as_ != "utf-8" and (was != "utf-8" or as_ in SINGLE)]
 ENTER, LEAVE = np.log(1e-3 / len(PAIRS)), np.log(0.05)
 LEAST = 2e-7  # probability of a character that a state never showed
 RARE = 2e-6  # no character counts as rarer than this in clean text
@@ -45,7 +49,7 @@ _TABLES: dict[str, tuple[str, dict[str, int]]] = {}
 
 def _single(codec: str) -> tuple[str, dict[str, int]] | None:
     """The 256 characters of a one-byte encoding, undefined bytes as control characters, and their bytes."""
-    if codec not in ("cp1252", "latin-1", "mac_roman", "cp1251", "cp437", "koi8_r"):
+    if codec not in SINGLE:
         return None
     if codec not in _TABLES:
         chars = []
@@ -152,14 +156,17 @@ class Model:
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
-def _placed(model: Model, data: np.ndarray, at: np.ndarray, was: str, as_: str) -> np.ndarray:
-    """Which characters (code points and their indexes) stand where this pair's damage could have put them; ASCII ones do."""
+def _lone(high: np.ndarray) -> np.ndarray:
+    """Characters beyond ASCII that stand alone."""
+    near = np.zeros(len(high), dtype=bool)
+    near[1:] |= high[:-1]
+    near[:-1] |= high[1:]
+    return high & ~near
+
+
+def _placed(model: Model, data: np.ndarray, at: np.ndarray, as_: str) -> np.ndarray:
+    """Which characters (code points and their indexes) stand where UTF-8 read as ``as_`` could have put them; ASCII ones do."""
     high = data >= 0x80
-    if was != "utf-8":  # two bytes a character: none stands alone
-        near = np.zeros(len(data), dtype=bool)
-        near[1:] |= high[:-1]
-        near[:-1] |= high[1:]
-        return ~high | near
     raw, sizes = model.raw(as_)
     size = sizes[at]
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -187,9 +194,11 @@ def _through(x: np.ndarray) -> np.ndarray:
     return ending(x) + ending(x[:, ::-1])[:, ::-1] - x
 
 
-def _best_stretch(x: np.ndarray) -> float:
-    total = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
-    return float((total - np.minimum.accumulate(total)).max())
+def _best_stretches(x: np.ndarray) -> np.ndarray:
+    """For each row the largest sum of a stretch."""
+    total = np.zeros((len(x), x.shape[1] + 1), dtype=np.float32)
+    np.cumsum(x, axis=1, out=total[:, 1:])
+    return (total - np.minimum.accumulate(total, axis=1)).max(axis=1)
 
 
 def _viterbi(jobs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
@@ -203,7 +212,7 @@ def _viterbi(jobs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
         longest = jobs[order[-1]].shape[1]
         take = [order.pop()]
         most = jobs[take[0]].shape[0]
-        while order and len(take) < 256 and jobs[order[-1]].shape[1] * 2 > longest and longest * max(most, jobs[order[-1]].shape[0]) * (len(take) + 1) < 6_000_000:
+        while order and len(take) < 256 and jobs[order[-1]].shape[1] * 2 > longest and longest * max(most, jobs[order[-1]].shape[0]) * (len(take) + 1) < 4_000_000:
             take.append(order.pop())
             most = max(most, jobs[take[-1]].shape[0])
         rows = np.full((longest, len(take), most), -50.0, dtype=np.float32)
@@ -212,17 +221,19 @@ def _viterbi(jobs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
             rows[: sizes[r], r, : jobs[k].shape[0]] = jobs[k].T
         clean, there = np.zeros(len(take)), np.full((len(take), most), -1e9)
         entered = np.empty((longest, len(take), most), dtype=bool)
-        left = np.empty((longest, len(take)), dtype=np.int8)  # the state that the clean one was reached from, or -1
+        left = np.empty((longest, len(take)), dtype=bool)  # whether the clean state was reached from the likeliest other one
+        history = np.empty((longest, len(take), most), dtype=np.float32)
         state = np.full(len(take), -1)
-        alive, each = len(take), np.arange(len(take))
+        alive = len(take)
         for t in range(longest):
-            best = there.argmax(axis=1)
-            leave = there[each, best] + LEAVE
+            history[t] = there
+            leave = there.max(axis=1) + LEAVE
             enter = (clean + ENTER)[:, None]
             np.greater(enter, there, out=entered[t])
-            there = np.maximum(enter, there) + rows[t]
-            left[t] = np.where(leave > clean, best, -1)
-            clean = np.maximum(clean, leave)
+            there = np.maximum(enter, there)
+            there += rows[t]
+            np.greater(leave, clean, out=left[t])
+            np.maximum(clean, leave, out=clean)
             while alive and sizes[alive - 1] == t + 1:  # a text may end garbled
                 alive -= 1
                 top = int(there[alive].argmax())
@@ -235,8 +246,8 @@ def _viterbi(jobs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
                     if entered[t, r, now]:
                         out[k].append((t, end, now))
                         now = -1
-                elif left[t, r] >= 0:
-                    now, end = int(left[t, r]), t
+                elif left[t, r]:
+                    now, end = int(history[t, r].argmax()), t
             out[k].reverse()
     return out
 
@@ -307,20 +318,22 @@ def _regions(model: Model, text: str) -> list[tuple[int, np.ndarray, np.ndarray]
     start = int(hopeful[0])
     data, at = data[start : hopeful[-1] + 1], at[start : hopeful[-1] + 1]
     ratios = model.ratio[:, at]
+    ratios[np.ix_(SEVERAL, np.flatnonzero(_lone(data >= 0x80)))] = -4.0
     likely = np.flatnonzero(np.maximum(ratios, 0).sum(axis=1) > need)
-    likely = likely[[_best_stretch(ratios[k]) > need for k in likely.tolist()]] if len(likely) else likely
     if not len(likely):
         return []
     rows = ratios[likely]
-    places: dict[tuple[bool, str], np.ndarray] = {}
+    worthy = _best_stretches(rows) > need
+    likely, rows = likely[worthy], rows[worthy]
+    if not len(likely):
+        return []
+    places: dict[str, np.ndarray] = {}
     for row, k in zip(rows, likely.tolist()):
         _, was, as_, _, _ = PAIRS[k]
-        if as_ == "utf-8":
-            continue
-        kind = (True, as_) if was == "utf-8" else (False, "")
-        if kind not in places:
-            places[kind] = ~_placed(model, data, at, was, as_)
-        row[places[kind]] = -4.0
+        if was == "utf-8":
+            if as_ not in places:
+                places[as_] = ~_placed(model, data, at, as_)
+            row[places[as_]] = -4.0
     # A span of a state in the best path pays for entering, so it lies where a stretch that does is possible.
     active = _through(rows) > need
     anywhere = np.concatenate([[False], active.any(axis=0), [False]])
