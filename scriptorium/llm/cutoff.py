@@ -186,7 +186,7 @@ def score(weights: np.ndarray, text: str) -> float:
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
-    return np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in np.atleast_1d(x)])
+    return np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in np.atleast_1d(x)], dtype=float)
 
 
 def censored_fit(x: np.ndarray, n: np.ndarray, censored: np.ndarray, rounds: int = 60) -> tuple[float, float]:
@@ -196,12 +196,13 @@ def censored_fit(x: np.ndarray, n: np.ndarray, censored: np.ndarray, rounds: int
     """
     mu = float((x * n).sum() / n.sum())
     sigma = max(0.05, float(np.sqrt((n * (x - mu) ** 2).sum() / n.sum())))
-    for _ in range(rounds):
-        a = (x - mu) / sigma
-        tail = np.maximum(1e-12, 1 - _phi(a))
-        hazard = np.exp(-0.5 * a * a) / math.sqrt(2 * math.pi) / tail
-        first = np.where(censored, mu + sigma * hazard, x)
-        second = np.where(censored, mu * mu + sigma * sigma + sigma * hazard * (x + mu), x * x)
+    first, second = x.copy(), x * x
+    bound = x[censored]
+    for _ in range(rounds if len(bound) else 1):
+        a = (bound - mu) / sigma
+        hazard = np.exp(-0.5 * a * a) / math.sqrt(2 * math.pi) / np.maximum(1e-12, 1 - _phi(a))
+        first[censored] = mu + sigma * hazard
+        second[censored] = mu * mu + sigma * sigma + sigma * hazard * (bound + mu)
         new = float((n * first).sum() / n.sum())
         sigma, mu = max(0.05, math.sqrt(max(1e-6, float((n * second).sum() / n.sum()) - new * new))), new
     return mu, sigma
@@ -212,15 +213,19 @@ def find_limits(lengths: np.ndarray, counts: np.ndarray, width: int) -> list[tup
 
     ``width`` is 1 for characters; for bytes 3, as a cut falls before the character that doesn't fit.
     """
-    lengths, counts = lengths.astype(np.int64), counts.astype(float)
+    order = np.argsort(lengths, kind="stable")
+    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(float)
     total = counts.sum()
     if total < 2 * FEWEST:
         return []
-    held = np.array([counts[(lengths <= v) & (lengths > v - width)].sum() for v in lengths])
+    upto = np.concatenate([[0.0], np.cumsum(counts)])
+    held = upto[1:] - upto[np.searchsorted(lengths, lengths - width, side="right")]
     limits: list[int] = []
     found: list[tuple[int, float, float]] = []
     for _ in range(8):
-        censored = np.array([any(v - width < x <= v for v in limits) for x in lengths], dtype=bool)
+        censored = np.zeros(len(lengths), dtype=bool)
+        for v in limits:
+            censored |= (lengths > v - width) & (lengths <= v)
         mu, sigma = censored_fit(np.log(np.maximum(lengths, 1)), counts, censored)
         edge = _phi((np.log(np.maximum(lengths + 0.5, 0.5)) - mu) / sigma) - _phi((np.log(np.maximum(lengths + 0.5 - width, 0.5)) - mu) / sigma)
         expected = np.maximum(total * edge, 0.02 * width)
