@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.classes import SPACE
+from scriptorium.session import stage
 
 
 def edges(docs: DataFrame, id: str, text: str, window: int = 50, longest: int = 12) -> DataFrame:
@@ -36,10 +37,16 @@ def statistics(edge: DataFrame, id: str) -> DataFrame:
 
 
 def path_lengths(edge: DataFrame, id: str, hops: int = 4) -> DataFrame:
-    """Mean length of the shortest paths of up to ``hops`` edges, by bounded breadth-first expansion; a step is one join and one minimum."""
-    both = edge.select(id, "a", "b").unionByName(edge.select(id, F.col("b").alias("a"), F.col("a").alias("b")))
-    known = both.withColumn("d", F.lit(1))
-    for _ in range(hops - 1):
-        step = known.alias("k").join(both.alias("e"), (F.col(f"k.{id}") == F.col(f"e.{id}")) & (F.col("k.b") == F.col("e.a"))).select(F.col(f"k.{id}").alias(id), F.col("k.a").alias("a"), F.col("e.b").alias("b"), (F.col("k.d") + 1).alias("d"))
-        known = known.unionByName(step.filter("a <> b")).groupBy(id, "a", "b").agg(F.min("d").alias("d"))
+    """Mean length of the shortest paths of up to ``hops`` edges, by bounded breadth-first expansion.
+
+    Each step extends only the pairs that the last one found, and drops those known before; it is written to the shared folder.
+    """
+    ends = edge.select(id, F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    both = stage(ends.unionByName(ends.select(id, F.col("b").alias("a"), F.col("a").alias("b"))), "hops")
+    last = known = both.withColumn("d", F.lit(1))
+    step = both.select(id, F.col("a").alias("b"), F.col("b").alias("c"))
+    for d in range(2, hops + 1):
+        found = last.select(id, "a", "b").join(step, [id, "b"]).filter("a <> c").select(id, "a", F.col("c").alias("b")).distinct()
+        last = stage(found.join(known.select(id, "a", "b"), [id, "a", "b"], "left_anti").withColumn("d", F.lit(d)), "hops")
+        known = known.unionByName(last)
     return known.groupBy(id).agg(F.round(F.avg("d"), 6).alias("avg_path_length"))

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.classes import SPACE
 
-UNTRUNCATED = "text"
-
-
 def standardized(rows: DataFrame, id: str, priority: int = 0) -> DataFrame | None:
     """id, text, label (default 0), source (default 'unknown'), length, text_hash and the source's priority; None without a text."""
     if "text" not in rows.columns:
@@ -92,7 +89,8 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 def within_shares(rows: DataFrame, by: str) -> DataFrame:
     """Count of each value and its share of all rows."""
     counts = rows.groupBy(by).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))  # one row for each value
+    total = rows.agg(F.count("*").alias("__total"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("__total"), 6)).drop("__total")  # one row
 
 
 def verdict_of_sources(rows: DataFrame, bad: str, warn: str, ok: str) -> DataFrame:

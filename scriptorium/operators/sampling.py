@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 2  # leading hex digits of the hash that make a range: 256 of them
+RANGES = 3  # leading hex digits of the hash that make a range: 4,096 of them, so ten billion rows make windows of some millions
 
 
 def hash_key(id: Column | str, seed: int | str = 42) -> Column:
