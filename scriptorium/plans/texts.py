@@ -364,13 +364,13 @@ def rate_limit(spark, d):
 @query()
 def text_graph(spark, d):
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
-    return graph.statistics(graph.edges(docs, "doc_id", "text"), "doc_id")
+    return graph.text_statistics(docs, "doc_id", "text")
 
 
 @query()
 def graph_paths(spark, d):
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
-    return graph.path_lengths(graph.edges(docs, "doc_id", "text"), "doc_id", hops=3)
+    return graph.text_path_lengths(docs, "doc_id", "text")
 
 
 @query(f"WITH {CORPUS} SELECT count(*) AS n, count(*) FILTER (pred = label) AS n_right, round(count(*) FILTER (pred = label) / 90.0::DOUBLE, 6) AS per_minute FROM scored")

@@ -186,3 +186,39 @@ def test_graph_of_a_triangle(spark):
     row = graph.statistics(e, "id").first()
     assert (row["nodes"], row["edges"], row["density"], row["clustering"]) == (3, 3, 1.0, 1.0)
     assert graph.path_lengths(e, "id").first()["avg_path_length"] == 1.0
+
+
+def test_paths_of_any_length_and_words_of_any_length(spark):
+    from scriptorium.operators import graph
+
+    chain = spark.createDataFrame([(1, f"n{i:02}", f"n{i + 1:02}") for i in range(9)], "id long, a string, b string")
+    mean = sum(j - i for i in range(10) for j in range(i + 1, 10)) / 45
+    assert graph.path_lengths(chain, "id").first()["avg_path_length"] == round(mean, 6)
+    docs = spark.createDataFrame([(1, "这是一个没有空格而且很长的句子，abcdefghijklmnopq short"), (2, "x" * 60 + " y"), (3, "lone")], "id long, t string")
+    rows = {r["id"]: (r["nodes"], r["edges"]) for r in graph.text_statistics(docs, "id", "t").collect()}
+    assert rows == {1: (3, 3), 2: (2, 0), 3: (1, 0)}
+    docs = spark.createDataFrame([(k, " ".join(f"{w * w * 7 % 61:04}" for w in range(k * 20))) for k in range(1, 5)] + [(9, None)], "id long, t string")
+    edge = graph.edges(docs, "id", "t")
+    assert sorted(graph.text_path_lengths(docs, "id", "t").collect()) == sorted(graph.path_lengths(edge, "id").collect())
+    assert sorted(graph.text_statistics(docs, "id", "t").collect()) == sorted(graph.statistics(edge, "id").collect())
+
+
+def test_distances_against_searches_from_each_word(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from scriptorium.operators import graph
+
+    monkeypatch.setattr(graph, "SOURCES", 7)
+    rng = random.Random(3)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(50)})
+    want = {}
+    for s in {x for p in pairs for x in p}:
+        seen, last, d = {s}, {s}, 0
+        while last:
+            last, d = {y for p in pairs for x, y in (p, p[::-1]) if x in last} - seen, d + 1
+            seen |= last
+            want[d] = want.get(d, 0) + len(last)
+    a, b = np.array(pairs).T
+    assert dict(graph._distances(graph._beside(a, b, 60))) == {d: n for d, n in want.items() if n}
