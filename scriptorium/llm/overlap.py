@@ -1,9 +1,10 @@
 """Same or nearly same records across splits, by an edit-distance segment join.
 
-The content (letters and digits) of each evaluation text is cut into disjoint segments. k edits can damage at most
-k of them, so of any k + 1 segments one survives; the k + 1 that are rarest among all evaluation
-texts are kept, which spares the join the phrases that every text shares. A training text is a candidate where one of its
-substrings equals a segment. Segments may stand at any position that the lengths allow, because
+The segments are the runs of five characters by which the content (letters and digits) is compared. Of an evaluation text's
+r distinct runs a case lacks at most r (1 - threshold), so of that many and m more, m are shared for certain, wherever the
+edits are; those that are rarest among all evaluation
+texts are kept, which spares the join the phrases that every text shares. A training text is a candidate where m of its
+substrings equal segments. Segments may stand at any position that the lengths allow, because
 moved sentences don't make a record another one; the shift of each match is its diagonal. Along the
 diagonals, a banded dynamic program aligns both contents. Candidates whose aligned parts cover enough are verified exactly.
 
@@ -23,28 +24,22 @@ from pyspark.sql import functions as F
 from scriptorium.llm import content as C
 from scriptorium.session import stage
 
-WIDTH = 8  # characters of a segment
-AGREE = 3  # segments that a candidate must share, where so many are sure to survive
-SHORT = 32  # contents below this length use every run of C.RUN characters as a segment
+AGREE = 0.1  # part of its runs that a candidate must share among those kept
 BLOOM_BITS = 1 << 26  # 8 MB, whatever the size of the data
 BLOOM_PIECE = 1 << 16
 BAND = 4
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cls, content -> cls, n (characters), r (distinct runs), segment (hash), at."""
+    """cls, content -> cls, r (distinct runs), segment (hash of a distinct run), at (its first position)."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out: list[tuple[np.ndarray, ...]] = []
         for i, t in zip(ids, texts):
-            data = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            short = len(t) < SHORT
-            h = C.windows(data, C.RUN if short else WIDTH)
-            at = np.arange(len(h)) if short else np.arange(0, len(h), WIDTH)
-            r = len(np.unique(C.windows(data, C.RUN)))
-            out.append((np.full(len(at), i, np.int64), np.full(len(at), len(t), np.int32), np.full(len(at), r, np.int32), (h[at] * np.uint64(2) + np.uint64(short)).view(np.int64), at.astype(np.int32)))
+            h, at = np.unique(C.windows(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), C.RUN), return_index=True)
+            out.append((np.full(len(at), i, np.int64), np.full(len(at), len(h), np.int32), h.view(np.int64), at.astype(np.int32)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "n", "r", "segment", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "r", "segment", "at"])
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +69,7 @@ def _bloom(segments: DataFrame) -> np.ndarray:
     return bits
 
 
-def _substrings(bloom, threshold: float):
+def _substrings(bloom):
     """cls, content -> the substrings (cls, r, segment, at) that may be a segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,15 +78,11 @@ def _substrings(bloom, threshold: float):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[tuple[np.ndarray, ...]] = []
             for i, t in zip(ids, texts):
-                data = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                r = len(np.unique(C.windows(data, C.RUN)))
-                # A short content has fewer than SHORT - RUN + 1 runs, so its partners have few as well.
-                for short, width in ((0, WIDTH), (1, C.RUN)) if r * threshold < SHORT else ((0, WIDTH),):
-                    key = C.windows(data, width) * np.uint64(2) + np.uint64(short)
-                    bit = key % np.uint64(BLOOM_BITS)
-                    hit = np.flatnonzero(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
-                    if len(hit):
-                        out.append((np.full(len(hit), i, np.int64), np.full(len(hit), r, np.int32), key[hit].view(np.int64), hit.astype(np.int32)))
+                key = C.windows(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), C.RUN)
+                bit = key % np.uint64(BLOOM_BITS)
+                hit = np.flatnonzero(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+                if len(hit):
+                    out.append((np.full(len(hit), i, np.int64), np.full(len(hit), len(np.unique(key)), np.int32), key[hit].view(np.int64), hit.astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "r", "segment", "at"])
 
@@ -169,20 +160,17 @@ def links(train: DataFrame, evaluation: DataFrame, threshold: float = 0.6, cover
         sides.append((stage(texts.join(heads, "id", "left_semi").dropDuplicates(["id"]), f"{name}-contents"), members))
     (train_texts, train_members), (eval_texts, eval_members) = sides
 
-    cut = stage(eval_texts.select("id", "content").mapInArrow(_segments, "cls bigint, n int, r int, segment bigint, at int"), "segments")
+    cut = stage(eval_texts.select("id", "content").mapInArrow(_segments, "cls bigint, r int, segment bigint, at int"), "segments")
     common = cut.groupBy("segment").agg(F.count("*").alias("seen"))
-    rarest = Window.partitionBy("cls").orderBy("seen", F.xxhash64("segment"), "at")
-    # A lone edit costs at least 4 of one content's runs and 5 of the other's: with e edits (n - 4e) / (n + 5e) is at least
-    # the threshold t, so e <= n (1 - t) / (4 + 5t). A missing block damages fewer segments for the runs that it costs.
-    edits = F.floor(F.col("n") * (1 - threshold) / (4 + 5 * threshold)) + 1
-    # With k + t of the segments kept, at least t survive; short contents keep all their runs, of which they share the threshold's part.
-    total = F.ceil(F.col("n") / WIDTH - F.lit((WIDTH - 1) / WIDTH))
-    least = F.when(F.col("n") < SHORT, F.ceil(F.col("r") * threshold - 1e-9)).otherwise(F.greatest(F.lit(1), F.least(F.lit(AGREE), total - edits)))
-    kept = cut.join(common, "segment").withColumn("place", F.row_number().over(rarest)).withColumn("least", least.cast("int")).filter((F.col("n") < SHORT) | (F.col("place") <= edits + F.col("least")))
+    rarest = Window.partitionBy("cls").orderBy("seen", F.xxhash64("segment"), "segment")
+    # A case shares at least the threshold's part of these runs, so it lacks no more than the rest: of that many and ``least`` more, ``least`` are shared.
+    least = F.ceil(F.col("r") * F.lit(min(AGREE, threshold)) - 1e-9)
+    lacking = F.col("r") - F.ceil(F.col("r") * threshold - 1e-9)
+    kept = cut.join(common, "segment").withColumn("place", F.row_number().over(rarest)).withColumn("least", least.cast("int")).filter(F.col("place") <= lacking + F.col("least"))
     kept = stage(kept.select("cls", "r", "least", "segment", "at"), "kept")
 
     bloom = train.sparkSession.sparkContext.broadcast(_bloom(kept))
-    hits = train_texts.select("id", "content").mapInArrow(_substrings(bloom, threshold), "cls bigint, r int, segment bigint, at int")
+    hits = train_texts.select("id", "content").mapInArrow(_substrings(bloom), "cls bigint, r int, segment bigint, at int")
     right = hits.select(F.col("cls").alias("b"), F.col("r").alias("r_b"), "segment", F.col("at").alias("at_b"))
     met = kept.select(F.col("cls").alias("a"), F.col("r").alias("r_a"), "least", "segment", F.col("at").alias("at_a")).join(right, "segment")
     # With moved parts every position is allowed, as long as the fewer runs can be enough of the more.

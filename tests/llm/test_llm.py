@@ -126,6 +126,25 @@ def test_overlaps_against_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_overlaps_with_edits_at_ends_and_across_borders(spark):
+    rng = random.Random(9)
+    train, evaluation = [], []
+    for k in range(60):
+        n, first = 32 if k < 20 else rng.randrange(20, 120), 0x4E00 + 150 * k
+        t = [chr(first + i) for i in range(n)]
+        evaluation.append("".join(t))
+        if k < 20:  # the ends missing and a character replaced
+            t[10 + k % 12] = "字"
+            t = t[1:-1]
+        for _ in range(0 if k < 20 else rng.randrange(1, 2 + n // 16)):
+            at = rng.choice([0, len(t) - 1, rng.randrange(len(t))])
+            t[at : at + rng.randrange(1, 3)] = rng.choice([[], ["字"], ["另", "外"]])
+        train.append("".join(t))
+    want = {(i + 1, j + 1001) for i, a in enumerate(train) for j, b in enumerate(evaluation) if same(a, b)}
+    got = {(r["train_id"], r["eval_id"]) for r in overlap.found(frame(spark, train), frame(spark, evaluation, 1001)).collect()}
+    assert got == want and len(want) > 30
+
+
 def test_overlap_report_counts_rows(spark):
     t = "这是一段既在训练集里也在测试集里的文字。"
     train = frame(spark, [t, t, None])
