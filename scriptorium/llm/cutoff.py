@@ -222,7 +222,7 @@ def find_limits(lengths: np.ndarray, counts: np.ndarray, width: int) -> list[tup
     held = upto[1:] - upto[np.searchsorted(lengths, lengths - width, side="right")]
     limits: list[int] = []
     found: list[tuple[int, float, float]] = []
-    for _ in range(8):
+    while True:  # each round adds a length, or ends
         censored = np.zeros(len(lengths), dtype=bool)
         for v in limits:
             censored |= (lengths > v - width) & (lengths <= v)
@@ -319,7 +319,7 @@ def detect(docs: DataFrame, key: str = "row_id", text: str = "text", source: str
     rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).filter(F.col("text").rlike(r"\S"))
     measured = rows.mapInArrow(_measure, f"key {kind}, source string, chars int, core_chars int, core_bytes int")
     found = stage(limits(measured), "limits")
-    own = found.groupBy("source").agg(F.collect_list(F.struct("measure", "length_limit", "posterior")).alias("limits"))  # at most 24 of a source
+    own = found.groupBy("source").agg(F.collect_list(F.struct("measure", "length_limit", "posterior")).alias("limits"))  # as many as are significant
     judged = rows.join(own.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("key", "source", "text", "limits")
 
     # Half as many again as needed pass the hash, wherever they lie, so that each partition sends its part of the sample only.
@@ -327,7 +327,7 @@ def detect(docs: DataFrame, key: str = "row_id", text: str = "text", source: str
     hashed = rows.select("source", "text").withColumn("h", F.xxhash64("text")).filter(F.col("h") <= min(2**63 - 1, int(-(2**63) + part * 2**64)))
     drawn = hashed.orderBy("h", "text").limit(sample).select("source", "text").toPandas()
     by_source: dict[str | None, list[dict]] = {}
-    for r in found.collect():  # at most 24 of a source
+    for r in found.collect():  # as many as are significant
         by_source.setdefault(r["source"], []).append(r.asDict())
     weights = fit(drawn["text"].tolist(), [_posterior(t, core(t)[0], by_source.get(s)) > 0 for s, t in zip(drawn["source"], drawn["text"])])
     return judged.mapInArrow(_judge(spark.sparkContext.broadcast(weights), prior), f"key {kind}, source string, log_odds double, cut boolean").withColumnRenamed("key", key), found

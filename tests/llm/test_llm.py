@@ -365,6 +365,13 @@ def test_limits_are_found_in_characters_and_bytes():
     assert abs(mu - 6) < 0.15 and abs(sigma - 0.6) < 0.15
 
 
+def test_all_limits_of_a_source_are_found():
+    lengths = np.exp(np.random.default_rng(3).normal(6, 0.6, 4000)).astype(int)
+    spikes = list(range(200, 1400, 100))
+    values, counts = np.unique(np.concatenate([lengths, np.repeat(spikes, 200)]), return_counts=True)
+    assert sorted(f[0] for f in cutoff.find_limits(values, counts, 1)) == spikes
+
+
 def test_cut_texts_held_out(spark):
     rng = random.Random(6)
     rows, truth = [], set()
