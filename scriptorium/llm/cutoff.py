@@ -28,6 +28,8 @@ from scriptorium.session import stage
 MARKERS = re.compile(r"(?:\s*(?:[\[【(（<〈《]\s*(?:\.{3,}|…+|更多|展开全文|阅读全文|查看全文|全文|省略|未完|more|read more|truncated|continued|cut)\s*[\]】)）>〉》]|(?:阅读全文|展开全文|查看全文|查看更多|更多内容|未完待续|read more|continue reading)\s*[>»]*)\s*)+$", re.I)
 ELLIPSIS = re.compile(r"(?:…+|\.{3,}|。{3,})$")
 TERMINAL = frozenset("。！？!?.;；~～」』”’\"')）]】》〉}>")
+FINAL = frozenset("。！？!?.")  # marks that end sentences
+CLOSERS = "」』”’\"')）]】》〉}>"
 LIST = re.compile(r"(?:[-*+•]|\d+[.、)）]|[一二三四五六七八九十]+、)\s*")
 # How units of markup and transfer formats begin; a text that breaks off behind one is cut.
 OPENERS = ("`", "```\n", "（", "(", "《", "“", "‘", "**", "__", "<", "<b>", "[", "![", "[x](", "【", "{\"", "&", "&#", "\\", "\\n", "\\u", "\n- ", "\n| ", "\n1. ", "\n## ")
@@ -292,8 +294,8 @@ def _judge(weights, prior: float):
                 bare, kind = core(text)
                 chance = max(prior, min(0.98, _posterior(text, bare, own)))
                 odds = score(w, text) + math.log(chance / (1 - chance))
-                # A unit that is complete up to its closing mark wasn't broken, whatever the length.
-                if kind in ("", "space") and bare[-1:] in TERMINAL and not _left_open(bare):
+                # A sentence that is complete up to its closing mark wasn't broken, whatever the length.
+                if kind in ("", "space") and _finished(bare) and not _left_open(bare):
                     odds = min(odds, -1.0)
                 z.append(odds)
             odds_ = np.array(z, dtype=float)
@@ -302,6 +304,12 @@ def _judge(weights, prior: float):
     return run
 
 
+def _finished(bare: str) -> bool:
+    """Whether it ends in a sentence's mark, or in quotes and brackets closed behind one. A dot behind a digit may be a decimal point."""
+    inner = bare.rstrip(CLOSERS)
+    return inner[-1:] in FINAL and not re.search(r"\d\.$", inner)
+
+
 def _left_open(bare: str) -> bool:
     last = bare.rsplit("\n", 1)[-1]
     return any(last.count(a) > last.count(b) for a, b in ("“”", "（）", "()", "[]", "{}", "【】", "《》")) or bare.count("```") % 2 == 1 or last.count("**") % 2 == 1

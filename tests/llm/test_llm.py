@@ -365,6 +365,11 @@ def test_limits_are_found_in_characters_and_bytes():
     assert abs(mu - 6) < 0.15 and abs(sigma - 0.6) < 0.15
 
 
+def test_only_sentence_marks_finish_a_text():
+    assert all(map(cutoff._finished, ("他来了。", "他说：“好！”", "Done.", "（完。）", "really?\"")))
+    assert not any(map(cutoff._finished, ("根据《合同法》", "共3.", "先洗手；", "it;", "他的“主意”", "don'", "", "》")))
+
+
 def test_all_limits_of_a_source_are_found():
     lengths = np.exp(np.random.default_rng(3).normal(6, 0.6, 4000)).astype(int)
     spikes = list(range(200, 1400, 100))
