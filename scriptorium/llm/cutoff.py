@@ -332,8 +332,8 @@ def detect(docs: DataFrame, key: str = "row_id", text: str = "text", source: str
 
     # Half as many again as needed pass the hash, wherever they lie, so that each partition sends its part of the sample only.
     part = min(1.0, 1.5 * sample / max(1, docs.count()))
-    hashed = rows.select("source", "text").withColumn("h", F.xxhash64("text")).filter(F.col("h") <= min(2**63 - 1, int(-(2**63) + part * 2**64)))
-    drawn = hashed.orderBy("h", "text").limit(sample).select("source", "text").toPandas()
+    hashed = rows.withColumn("h", F.xxhash64("key", "text")).filter(F.col("h") <= min(2**63 - 1, int(-(2**63) + part * 2**64)))
+    drawn = hashed.orderBy("h", "key", "text").limit(sample).select("source", "text").toPandas()
     by_source: dict[str | None, list[dict]] = {}
     for r in found.collect():  # as many as are significant
         by_source.setdefault(r["source"], []).append(r.asDict())

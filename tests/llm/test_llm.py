@@ -365,6 +365,15 @@ def test_limits_are_found_in_characters_and_bytes():
     assert abs(mu - 6) < 0.15 and abs(sigma - 0.6) < 0.15
 
 
+def test_copies_of_a_text_are_sampled_one_by_one(spark, monkeypatch):
+    rng, drawn = random.Random(8), []
+    monkeypatch.setattr(cutoff, "fit", lambda texts, at_limit, fit=cutoff.fit: drawn.extend(texts) or fit(texts, at_limit))
+    copy = sentence(rng) * 3
+    df = spark.createDataFrame([(i, copy if i % 3 == 0 else sentence(rng) + sentence(rng), "s") for i in range(1500)], "row_id long, text string, source string")
+    cutoff.detect(df, sample=300)
+    assert 60 < drawn.count(copy) < 140
+
+
 def test_only_sentence_marks_finish_a_text():
     assert all(map(cutoff._finished, ("他来了。", "他说：“好！”", "Done.", "（完。）", "really?\"")))
     assert not any(map(cutoff._finished, ("根据《合同法》", "共3.", "先洗手；", "it;", "他的“主意”", "don'", "", "》")))
