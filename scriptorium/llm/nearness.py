@@ -1,8 +1,8 @@
-"""Near-duplicates across a collection too large for pairwise comparison, by a MinHash LSH forest.
+"""Near-duplicates across a collection too large for pairwise comparison, by banded MinHash LSH.
 
-Each distinct content gets a MinHash signature. The forest has ``trees`` prefix tries, each over its own
-order of the signature; in every trie the contents are sorted, and neighbours that share a prefix are candidates.
-The length of the prefix starts at ``deepest`` and is shortened until contents at the threshold meet in at least one trie
+Each distinct content gets a MinHash signature. There are ``trees`` bands, each over its own
+order of the signature; contents that agree in all values of a band are candidates.
+The depth of the bands is computed once: from ``deepest`` on it is lowered until contents at the threshold meet in at least one band
 with the target recall. Candidates are held against a second, independent sketch of 32 bytes, and those that may
 be similar enough are verified exactly.
 """
