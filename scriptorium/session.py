@@ -32,18 +32,24 @@ def session(app: str = "scriptorium", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in local tests, a
-    temporary folder of this machine is used.
+    It is what ``spark.checkpoint.dir`` names. Only a local master, as in tests, may leave that unset and gets a temporary folder
+    of this machine; on a cluster executors would write and read different disks, so a missing setting is an error there.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"scriptorium-{os.getpid()}")
     spark.conf.set("spark.checkpoint.dir", "file://" + own)
     spark.sparkContext.setCheckpointDir("file://" + own)
     return "file://" + own
 
 
+#: Folders of staged tables that are still there, by application.
+_staged: dict[str, dict[str, None]] = {}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -57,10 +63,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     Cuts the lineage: what is read afterwards doesn't depend on any executor. The table is
-    removed when the interpreter ends.
+    removed by ``release`` when nothing reads it any more, by ``clear``, or when the interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    atexit.register(_remove, spark, path)
+    held = _staged.get(spark.sparkContext.applicationId)
+    if held is None:
+        held = _staged[spark.sparkContext.applicationId] = {}
+        atexit.register(clear, spark)
+    held[path] = None
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove staged tables, or unions of such, that no later action reads."""
+    for df in tables:
+        held = _staged.get(df.sparkSession.sparkContext.applicationId, {})
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            for known in [k for k in held if k.split(":", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/")]:
+                _remove(df.sparkSession, known)
+                del held[known]
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application staged. Results that still read them can't be computed afterwards."""
+    try:
+        held = _staged.pop(spark.sparkContext.applicationId, {})
+    except Exception:  # the session may already be gone
+        return
+    for path in held:
+        _remove(spark, path)
