@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import release, stage
+
 RUN = 5
 #: Ids up to this number (16 MB) are broadcast to preselect rows; beyond it the rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -102,24 +104,24 @@ def verify(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def components(links: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, name: str) -> DataFrame:
     """``id`` and ``component`` (its least id) of every id in ``links`` (``a``, ``b``).
 
     Large-star and small-star steps alternate until nothing changes; each round is written to the shared
     folder, and only two numbers about it come to the driver. A star's neighbours are never gathered:
     each step is an aggregation of a minimum and a join by key.
     """
-    from scriptorium.session import stage
 
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
     last = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("u", "v", "m")
-        edges = stage(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), name)
+        before, edges = edges, stage(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), name)
+        release(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break

@@ -1,46 +1,63 @@
-"""Near-duplicates across a collection too large for pairwise comparison, by banded MinHash LSH.
-
-Each distinct content gets a MinHash signature. There are ``trees`` bands, each over its own
-order of the signature; contents that agree in all values of a band are candidates.
-The depth of the bands is computed once: from ``deepest`` on it is lowered until contents at the threshold meet in at least one band
-with the target recall. Candidates are held against a second, independent sketch of 32 bytes, and those that may
-be similar enough are verified exactly.
+"""Near-duplicates across a collection too large for pairwise comparison, by a MinHash LSH forest.
+
+Each distinct content gets a MinHash signature. There are ``trees`` tries over it, each reading the signature's values in its
+own order; a record's label in a trie is a sequence of values, and the labels are kept sorted, so that records that
+share a prefix are neighbours and the longest prefix that each shares with any other is read off its neighbours. The matched
+prefix starts at the whole label and is shortened: the pairs verified at one depth, each weighted by how unlikely it was to be met
+there, tell how many are still missing, and so whether to shorten and how far. Shortening ends where the estimated recall reaches
+the target, at the latest at the floor, the depth at which even pairs at the threshold are found well enough, whatever the data. Candidates
+are held against a second, independent sketch of 32 bytes, and those that may be similar enough are verified exactly.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import content as C
-from scriptorium.session import stage
+from scriptorium.session import release, stage
 
 VALUES, SKETCH = 96, 32
+BELOW = 8  # values of a label below the floor, a byte each
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1, 1 << 31, VALUES + SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _TERMS = _RANDOM.integers(0, 1 << 32, VALUES + SKETCH, dtype=np.uint32)
 
 
-def prefix_length(threshold: float, trees: int, recall: float, deepest: int = 12) -> int:
-    """The longest prefix at which contents of that similarity share one in some trie with that probability."""
-    for depth in range(deepest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+@functools.cache
+def chance(similarity: float, depth: int, trees: int) -> float:
+    """Probability that two contents of that similarity share a prefix of that depth in some trie.
+
+    The tries read the same values, so it is taken over how many of these agree: given that number, each trie
+    reads ``depth`` different ones.
+    """
+    agree = np.arange(VALUES + 1)
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, VALUES + 1)))])
+    s = min(max(similarity, 1e-9), 1 - 1e-9)
+    weight = np.exp(log[VALUES] - log[agree] - log[VALUES - agree] + agree * np.log(s) + (VALUES - agree) * np.log(1 - s))
+    one = np.prod([np.maximum(agree - i, 0) / (VALUES - i) for i in range(depth)], axis=0)
+    return float((weight * (1 - (1 - one) ** trees)).sum())
+
+
+def floor_depth(threshold: float, trees: int, recall: float) -> int:
+    """The longest prefix that even contents at the threshold share in some trie with the target's probability."""
+    return max((d for d in range(1, 33) if chance(threshold, d, trees) >= recall), default=1)
 
 
-def _orders(trees: int, depth: int) -> np.ndarray:
-    """Which values of the signature each trie reads; every value is read equally often."""
+def _orders(trees: int, floor: int) -> np.ndarray:
+    """Which values of the signature each trie reads; down to the floor every value is read equally often."""
     rng = np.random.default_rng(7)
-    rounds = -(-trees * depth // VALUES)
+    rounds = -(-trees * floor // VALUES)
     while True:
-        flat = np.concatenate([rng.permutation(VALUES) for _ in range(rounds)])[: trees * depth].reshape(trees, depth)
-        if all(len(set(row)) == depth for row in flat.tolist()):
-            return flat
+        flat = np.concatenate([rng.permutation(VALUES) for _ in range(rounds)])[: trees * floor].reshape(trees, floor)
+        if all(len(set(row)) == floor for row in flat.tolist()):
+            break
+    return np.array([np.concatenate([row, rng.permutation(np.setdiff1d(np.arange(VALUES), row))[:BELOW]]) for row in flat])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,21 +99,24 @@ def _rows(column: pa.Array, width: int, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
 
-def _prefixes(trees: int, depth: int):
-    orders = _orders(trees, depth)
+def _labels(trees: int, floor: int):
+    """Labels of the reps (cls, signature): root (trie and values down to the floor, hashed), deep (the values below it), cls."""
+    orders = _orders(trees, floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             values = _rows(batch.column(1), VALUES, np.uint16).astype(np.uint64)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0)
             for t in range(trees):
-                key = np.full(len(ids), t * 0x9E3779B97F4A7C15 & (1 << 64) - 1, dtype=np.uint64)
-                for j in orders[t]:
-                    key = (key ^ values[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
-                    key ^= key >> np.uint64(31)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], names=["prefix", "cls"])
+                root, deep = np.full(len(values), t * 0x9E3779B97F4A7C15 & (1 << 64) - 1, dtype=np.uint64), np.zeros(len(values), dtype=np.uint64)
+                for j in orders[t, :floor]:
+                    root = (root ^ values[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
+                    root ^= root >> np.uint64(31)
+                for j in orders[t, floor:]:
+                    deep = deep << np.uint64(8) | values[:, j] & np.uint64(255)
+                yield pa.RecordBatch.from_arrays([pa.array(root.view(np.int64)), pa.array(deep.view(np.int64)), ids], names=["root", "deep", "cls"])
 
     return run
 
@@ -114,33 +134,94 @@ def _alike(least: int):
     return run
 
 
-def links(docs: DataFrame, threshold: float = 0.6, trees: int = 48, recall: float = 0.995) -> tuple[DataFrame, DataFrame]:
+class Forest:
+    """The sorted tries over ``docs`` (``id``, ``text``), and the candidates that they give."""
+
+    def __init__(self, docs: DataFrame, threshold: float, trees: int, recall: float, floor_recall: float) -> None:
+        self.threshold, self.trees, self.recall = threshold, trees, recall
+        self.floor = floor_depth(threshold, trees, floor_recall)
+        self.deepest = self.floor + BELOW
+        self.texts = docs.select(F.col("id").cast("bigint").alias("id"), C.content("text").alias("content")).filter(f"id is not null and length(content) >= {C.RUN}")
+        signed = stage(self.texts.select("id", F.unhex(F.md5("content")).alias("hash"), "content").mapInArrow(_sign, "id bigint, hash binary, n int, signature binary, sketch binary"), "signed")
+        self.members = stage(C.classes(signed), "members")
+        heads = self.members.filter("id = cls").select("id")
+        self.reps = stage(signed.join(heads, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("cls"), "signature", "sketch"), "reps")
+        release(signed)
+        # A subtree at the floor is sorted by the rest of the labels: its neighbours tell the longest prefix that a record shares with any.
+        in_order = Window.partitionBy("root").orderBy("deep", "cls")
+        labels = self.reps.select("cls", "signature").mapInArrow(_labels(trees, self.floor), "root bigint, deep bigint, cls bigint")
+        near = [self._shared(F.col("deep"), f("deep").over(in_order)) for f in (F.lag, F.lead)]
+        self.tries = stage(labels.withColumn("depth", F.greatest(*near)).filter("depth is not null"), "tries")
+
+    def _shared(self, a: Column, b: Column) -> Column:
+        """How many values two labels of a subtree share; null where there is no second one."""
+        apart = a.bitwiseXOR(b)
+        return self.floor + sum((F.shiftrightunsigned(apart, 64 - 8 * k) == 0).cast("int") for k in range(1, BELOW + 1))
+
+    def nodes(self, depth: int) -> DataFrame:
+        """``root``, ``node``, ``cls`` of the records that share a prefix of that depth with another."""
+        below = depth - self.floor
+        node = F.shiftrightunsigned("deep", 64 - 8 * below) if below else F.lit(0).cast("bigint")
+        return self.tries.filter(F.col("depth") >= depth).select("root", node.alias("node"), "cls")
+
+    def likely(self, met: DataFrame, tested: DataFrame | None) -> DataFrame:
+        """Of the pairs ``a``, ``b`` those not tested before whose sketches agree in enough bytes."""
+        met = met.distinct()
+        if tested is not None:
+            met = met.join(tested, ["a", "b"], "left_anti")
+        small = self.reps.select("cls", "sketch")
+        held = met.join(small.select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(small.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+        # At a threshold of 0.6, 32 bytes agree in 19 +- 3; 8 is four deviations below.
+        least = int(SKETCH * self.threshold - 4 * (SKETCH * self.threshold * (1 - self.threshold)) ** 0.5)
+        return stage(held.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike(least), "a bigint, b bigint"), "likely")
+
+    def verified(self, likely: DataFrame) -> DataFrame:
+        """``a``, ``b`` and the exact ``similarity`` of the pairs that reach the threshold."""
+        ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+        wanted = C.only(self.texts, ids).dropDuplicates(["id"])
+        both = likely.join(wanted.select(F.col("id").alias("a"), F.col("content").alias("text_a")), "a").join(wanted.select(F.col("id").alias("b"), F.col("content").alias("text_b")), "b")
+        return stage(C.verify(both, self.threshold), "links")
+
+    def shorter(self, near: DataFrame, depth: int) -> int | None:
+        """The depth to go on with after the pairs ``near`` met at ``depth``; None where the target recall is reached.
+
+        A pair met with probability p stands for 1 / p pairs. One imagined pair at the threshold, not met, is added,
+        so that a level with few pairs, which says little, isn't taken for a complete one.
+        """
+        counted = near.groupBy(F.floor(F.col("similarity") * 1000).cast("int").alias("s")).agg(F.count("*").alias("n")).collect()  # 1,001 rows at most
+        pairs = [((r["s"] + 0.5) / 1000, r["n"] / chance((r["s"] + 0.5) / 1000, depth, self.trees), r["n"]) for r in counted]
+        extra = 1 / chance(self.threshold, depth, self.trees)
+        total = extra + sum(w for _, w, _ in pairs)
+        if depth == self.floor or sum(n for *_, n in pairs) / total >= self.recall:
+            return None
+        expected = {d: (extra * chance(self.threshold, d, self.trees) + sum(w * chance(s, d, self.trees) for s, w, _ in pairs)) / total for d in range(self.floor, depth)}
+        return max((d for d, part in expected.items() if part >= self.recall), default=self.floor)
+
+
+def _pairs(nodes: DataFrame) -> DataFrame:
+    x, y = nodes.alias("x"), nodes.alias("y")
+    same = (F.col("x.root") == F.col("y.root")) & (F.col("x.node") == F.col("y.node")) & (F.col("x.cls") < F.col("y.cls"))
+    return x.join(y, same).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+
+
+def links(docs: DataFrame, threshold: float = 0.6, trees: int = 48, recall: float = 0.999, floor_recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """Similar classes (``a`` < ``b``, ``similarity``) and the membership (``id``, ``cls``) of ``docs`` (``id``, ``text``).
 
     A class is the ids of equal content, named by the least. Texts whose content is shorter than a run (null, blank,
     tiny) belong to no class; null ids are left out; a repeated id counts once; an empty table has no links.
+    ``recall`` is the part of all links that is to be found, as estimated from those verified, and ``floor_recall`` the
+    part of those right at the threshold; prefixes are shortened until either is reached.
     """
-    depth = prefix_length(threshold, trees, recall)
-    texts = docs.select(F.col("id").cast("bigint").alias("id"), C.content("text").alias("content")).filter(f"id is not null and length(content) >= {C.RUN}")
-    signed = stage(texts.select("id", F.unhex(F.md5("content")).alias("hash"), "content").mapInArrow(_sign, "id bigint, hash binary, n int, signature binary, sketch binary"), "signed")
-    members = stage(C.classes(signed), "members")
-    heads = members.filter("id = cls").select("id")
-    reps = stage(signed.join(heads, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("cls"), "n", "signature", "sketch"), "reps")
-
-    in_order = Window.partitionBy("prefix").orderBy("cls")
-    entries = reps.select("cls", "signature").mapInArrow(_prefixes(trees, depth), "prefix bigint, cls bigint")
-    shared = entries.withColumn("last", F.lag("cls").over(in_order)).withColumn("next", F.lead("cls").over(in_order)).filter("last is not null or next is not null").select("prefix", "cls")
-    shared = stage(shared, "shared")
-    met = shared.alias("x").join(shared.alias("y"), (F.col("x.prefix") == F.col("y.prefix")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    small = reps.select("cls", "sketch")
-    held = met.join(small.select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(small.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    # At the threshold, 32 bytes agree in 19 +- 3; 8 is four deviations below.
-    likely = stage(held.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike(int(SKETCH * threshold - 4 * (SKETCH * threshold * (1 - threshold)) ** 0.5)), "a bigint, b bigint"), "likely")
-
-    ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    wanted = C.only(texts, ids).dropDuplicates(["id"])
-    both = likely.join(wanted.select(F.col("id").alias("a"), F.col("content").alias("text_a")), "a").join(wanted.select(F.col("id").alias("b"), F.col("content").alias("text_b")), "b")
-    return stage(C.verify(both, threshold), "links"), members
+    forest = Forest(docs, threshold, trees, recall, floor_recall)
+    depth: int | None = forest.deepest
+    near = tested = None
+    while depth is not None:
+        new = forest.likely(_pairs(forest.nodes(depth)), tested)
+        found_ = forest.verified(new)
+        near, tested = (found_, new) if near is None else (near.unionByName(found_), tested.unionByName(new))
+        depth = forest.shorter(near, depth)
+    release(forest.tries, forest.reps, tested)
+    return near, forest.members
 
 
 def found(docs: DataFrame, **how: float) -> DataFrame:
@@ -150,17 +231,47 @@ def found(docs: DataFrame, **how: float) -> DataFrame:
     return C.within(near.select("a", "b").unionByName(copies), members).filter("id_a < id_b").distinct()
 
 
-def groups(docs: DataFrame, **how: float) -> DataFrame:
-    """One row for each id with content: ``id``, ``class_id``, ``group_id`` and ``n_links``.
+def linked(docs: DataFrame, **how: float) -> DataFrame:
+    """One row for each id with content: ``id``, ``class_id`` and ``n_links``, the other rows whose content is the same directly.
 
-    The class holds equal contents, the group whatever is linked through any chain, each named by its least id;
-    ``n_links`` is the number of other rows whose content is the same directly.
+    Every pair of similar classes is verified for it; copies are counted by class.
     """
     near, members = links(docs, **how)
-    joined = C.components(near, "groups")
     sizes = members.groupBy("cls").agg(F.count("*").alias("size"))
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("linked"))
-    per_class = sizes.join(linked, "cls", "left").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
-    per_class = per_class.select("cls", F.coalesce("component", "cls").alias("group_id"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return members.join(per_class, "cls").select("id", F.col("cls").alias("class_id"), "group_id", "n_links")
+    sums = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("linked"))
+    per_class = sizes.join(sums, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return members.join(per_class, "cls").select("id", F.col("cls").alias("class_id"), "n_links")
+
+
+def groups(docs: DataFrame, threshold: float = 0.6, trees: int = 48, recall: float = 0.999, floor_recall: float = 0.99) -> DataFrame:
+    """One row for each id with content: ``id``, ``class_id``, ``group_id``, ``class_size`` and ``group_size``.
+
+    The class holds equal contents, the group whatever is linked through any chain, each named by its least id. A
+    group needs no pair inside it that is linked already: each record is first held only against the least record of each of its subtrees, at the whole
+    labels and at the floor, which costs m comparisons for m near-copies; then, at the floor, records of
+    one subtree that are in different groups yet are compared in full, so that no link between groups is lost. What
+    null, tiny and repeated texts and ids give is as in ``links``.
+    """
+    forest = Forest(docs, threshold, trees, recall, floor_recall)
+    near = tested = None
+    for depth in (forest.deepest, forest.floor):
+        nodes = forest.nodes(depth)
+        least = nodes.groupBy("root", "node").agg(F.min("cls").alias("a"))
+        new = forest.likely(nodes.join(least, ["root", "node"]).filter("a < cls").select("a", F.col("cls").alias("b")), tested)
+        found_ = forest.verified(new)
+        near, tested = (found_, new) if near is None else (near.unionByName(found_), tested.unionByName(new))
+    joined = C.components(near, "groups")
+    nodes = forest.nodes(forest.floor).join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = nodes.groupBy("root", "node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("root")
+    nodes = stage(nodes.join(mixed, "root", "left_semi"), "mixed")  # at the floor a subtree is its root
+    x, y = nodes.alias("x"), nodes.alias("y")
+    apart = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")))
+    new = forest.likely(apart.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), tested)
+    over = forest.verified(new).select("a", "b")
+    joined = C.components(joined.select(F.col("component").alias("a"), F.col("id").alias("b")).filter("a <> b").unionByName(over), "groups")
+    release(forest.tries, forest.reps, nodes, new, tested)
+    per_class = forest.members.groupBy("cls").agg(F.count("*").alias("class_size")).join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("group_id", F.coalesce("component", "cls"))
+    sizes = per_class.groupBy("group_id").agg(F.sum("class_size").alias("group_size"))
+    per_class = per_class.join(sizes, "group_id").select("cls", "group_id", "class_size", "group_size")
+    return forest.members.join(per_class, "cls").select("id", F.col("cls").alias("class_id"), "group_id", "class_size", "group_size")

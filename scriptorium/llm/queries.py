@@ -49,6 +49,10 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearness.groups(_collection(spark, sf_dir)).withColumnRenamed("id", "row_id")
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearness.linked(_collection(spark, sf_dir)).withColumnRenamed("id", "row_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(_table(spark, sf_dir, "full_dataset")).filter("piece = 0").select("row_id")
 
@@ -86,4 +90,4 @@ def p8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_repair)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_groups, p3_links, p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_repair)}

@@ -91,9 +91,23 @@ def test_groups_are_the_components(spark):
         degree.update((a, b))
         a, b = sorted((find(a), find(b)))
         root[b] = a
+    with_content = {i + 1 for i, t in enumerate(texts) if run_set(t)}
     rows = nearness.groups(frame(spark, texts)).collect()
-    assert {r["id"] for r in rows} == {i + 1 for i, t in enumerate(texts) if run_set(t)}
-    assert all(r["group_id"] == find(r["id"]) and r["n_links"] == degree[r["id"]] for r in rows)
+    size = Counter(find(i) for i in with_content)
+    assert {r["id"] for r in rows} == with_content and len(rows) == len(with_content)
+    assert all(r["group_id"] == find(r["id"]) and r["group_size"] == size[r["group_id"]] for r in rows)
+    rows = nearness.linked(frame(spark, texts)).collect()
+    assert {r["id"] for r in rows} == with_content and all(r["n_links"] == degree[r["id"]] for r in rows)
+
+
+def test_groups_of_many_near_copies_take_linear_work(spark, monkeypatch):
+    rng, compared, m = random.Random(11), [], 5000
+    base = words(rng, 300)
+    copies = [base[:k] + rng.choice(SYLLABLES) + base[k + 1 :] for k in (rng.randrange(300) for _ in range(m))]
+    monkeypatch.setattr(content, "verify", lambda pairs, least, verify=content.verify: compared.append(pairs.count()) or verify(pairs, least))
+    rows = nearness.groups(frame(spark, copies + [words(rng, 300) for _ in range(50)])).collect()
+    assert Counter(r["group_id"] for r in rows).most_common(1) == [(1, m)] and len(rows) == m + 50
+    assert sum(compared) < 60 * m  # all pairs would be 2,500 for each
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -108,8 +122,21 @@ def test_extra_columns_and_null_or_repeated_ids(spark):
     assert [tuple(r) for r in nearness.found(df).collect()] == [(1, 2)]
 
 
-def test_prefix_grows_shorter_with_the_recall():
-    assert nearness.prefix_length(0.6, 48, 0.5) > nearness.prefix_length(0.6, 48, 0.995) >= 2
+def test_prefixes_shorten_as_far_as_the_recall_needs(spark, monkeypatch):
+    rng, depths = random.Random(12), []
+    monkeypatch.setattr(nearness.Forest, "nodes", lambda self, d, nodes=nearness.Forest.nodes: depths.append(d) or nodes(self, d))
+    bases = [words(rng, 200) for _ in range(400)]
+    alike = bases + [t[:100] + "改" + t[101:] for t in bases]  # similarity 0.95
+    assert nearness.found(frame(spark, alike), recall=0.98).count() == 400
+    near, depths[:] = list(depths), []
+    nearness.found(frame(spark, bases + [t[:125] for t in bases]), recall=0.98).count()  # similarity 0.62
+    assert near[0] == depths[0] == nearness.floor_depth(0.6, 48, 0.99) + nearness.BELOW
+    assert near == sorted(near, reverse=True) and near[-1] > depths[-1] == nearness.floor_depth(0.6, 48, 0.99)
+
+
+def test_the_floor_lies_deeper_with_more_trees_and_less_recall():
+    assert nearness.floor_depth(0.6, 48, 0.5) > nearness.floor_depth(0.6, 48, 0.99) >= 2
+    assert nearness.floor_depth(0.6, 96, 0.99) > nearness.floor_depth(0.6, 24, 0.99)
 
 
 # --- overlaps
