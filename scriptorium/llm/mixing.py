@@ -21,20 +21,28 @@ def _budgets(records: DataFrame, weights: DataFrame, total: int | None) -> DataF
     all_ = Window.partitionBy(F.lit(0))  # one row per weighted source
     want = weights.filter("target_share > 0 and source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     b = want.join(have, "source", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    most = F.floor(F.min(F.col("max_repeats") * F.col("have") / F.col("target_share")).over(all_))
-    b = b.withColumn("total", F.lit(total).cast("bigint") if total is not None else most.cast("bigint"))
-    b = b.withColumn("budget", F.least(F.round(F.col("total") * F.col("target_share")).cast("bigint"), F.col("max_repeats") * F.col("have")))
+    b = b.withColumn("total", F.lit(total).cast("bigint") if total is not None else F.sum("have").over(all_))
+    b = b.withColumn("wanted", F.round(F.col("total") * F.col("target_share")).cast("bigint"))
+    b = b.withColumn("budget", F.least("wanted", F.col("max_repeats") * F.col("have")))
     whole = F.when(F.col("have") > 0, F.expr("budget div have")).otherwise(F.lit(0))
     return b.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("have"))
 
 
+def reachable(docs: DataFrame, weights: DataFrame, text: str = "text", source: str = "source") -> int:
+    """The largest total at which every source reaches its share within its ``max_repeats``; 0 where one has no text."""
+    have = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.length(text)).alias("have"))
+    want = weights.filter("target_share > 0 and source is not null").select("source", "target_share", "max_repeats")
+    most = want.join(have, "source", "left").agg(F.floor(F.min(F.col("max_repeats") * F.coalesce("have", F.lit(0)) / F.col("target_share")))).first()[0]
+    return int(most or 0)
+
+
 def mix(docs: DataFrame, weights: DataFrame, key: str = "row_id", text: str = "text", source: str = "source", total: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The mix (``key``, ``source``, ``epoch``, ``size``; a row for each use) and the shares that it reaches.
 
     Sizes are characters of ``text``, counted here, because a stored length can't be trusted. ``total`` is the size
-    of the mix; without it, the largest total at which every source reaches its share within its
-    ``max_repeats``. With a larger total, a source that runs out gives all its uses and the report shows its
-    smaller share. Null and empty texts, and sources that are null or have no weight, take no part. Records with the
+    of the mix; without it, the size of all records that can take part. A source that runs out gives all its uses, and the
+    report shows its smaller share and what it lacks (``shortfall``); the others keep their sizes, so that no source without records
+    empties the mix. ``reachable`` gives the largest total without a shortfall. Null and empty texts, and sources that are null or have no weight, take no part. Records with the
     same key and size are used like any others. No record is used more than ``max_repeats`` times.
     """
     known = weights.filter("target_share > 0 and source is not null").select("source").distinct()
@@ -52,6 +60,6 @@ def mix(docs: DataFrame, weights: DataFrame, key: str = "row_id", text: str = "t
 
     reached = mixed.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("used"), F.max("epoch").alias("epochs_used"))
     all_ = Window.partitionBy(F.lit(0))
-    shares = budgets.select("source", "target_share", "max_repeats", "have", "budget").join(reached, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    shares = budgets.select("source", "target_share", "max_repeats", "have", "wanted", "budget").join(reached, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     shares = shares.withColumn("actual_share", F.round(F.try_divide(F.col("used").cast("double"), F.sum("used").over(all_).cast("double")), 6))
-    return mixed, shares.select("source", "target_share", "actual_share", F.col("have").alias("available"), "budget", "used", F.coalesce("epochs_used", F.lit(0)).alias("epochs_used"), "max_repeats")
+    return mixed, shares.select("source", "target_share", "actual_share", F.col("have").alias("available"), "budget", "used", (F.col("wanted") - F.col("budget")).alias("shortfall"), F.coalesce("epochs_used", F.lit(0)).alias("epochs_used"), "max_repeats")

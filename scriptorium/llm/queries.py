@@ -61,6 +61,10 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(_table(spark, sf_dir, "full_dataset"))
 
 
+def p4_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.round_trip(p4_pieces(spark, sf_dir))
+
+
 def p5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "full_dataset"), _table(spark, sf_dir, "source_weights"))[0]
 
@@ -90,4 +94,4 @@ def p8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_groups, p3_links, p4_found, p4_pieces, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_repair)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_groups, p3_links, p4_found, p4_pieces, p4_round_trip, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_repair)}

@@ -10,8 +10,8 @@ records AS (SELECT f.row_id, f.source, CAST(length(f.text) AS BIGINT) AS size, m
             FROM full_dataset f JOIN want w ON f.source = w.source WHERE length(f.text) > 0),
 have AS (SELECT w.source, w.target_share, w.max_repeats, CAST(coalesce(sum(r.size), 0) AS BIGINT) AS have
          FROM want w LEFT JOIN records r ON w.source = r.source GROUP BY ALL),
-total AS (SELECT CAST(floor(min(max_repeats * have / target_share)) AS BIGINT) AS total FROM have),
-budgets AS (SELECT source, target_share, max_repeats, have,
+total AS (SELECT CAST(sum(have) AS BIGINT) AS total FROM have),
+budgets AS (SELECT source, target_share, max_repeats, have, CAST(round(total * target_share) AS BIGINT) AS wanted,
                    least(CAST(round(total * target_share) AS BIGINT), max_repeats * have) AS budget FROM have, total),
 placed AS (SELECT row_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY h, row_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM records),
 uses AS (SELECT p.row_id, p.source, p.size,
@@ -26,11 +26,16 @@ P5_SHARES = (
     _MIX
     + """
 SELECT b.source, b.target_share, round(CAST(coalesce(m.used, 0) AS DOUBLE) / nullif(CAST(sum(coalesce(m.used, 0)) OVER () AS DOUBLE), 0), 6) AS actual_share,
-       b.have AS available, b.budget, CAST(coalesce(m.used, 0) AS BIGINT) AS used, coalesce(m.epochs, 0) AS epochs_used, b.max_repeats
+       b.have AS available, b.budget, CAST(coalesce(m.used, 0) AS BIGINT) AS used, b.wanted - b.budget AS shortfall, coalesce(m.epochs, 0) AS epochs_used, b.max_repeats
 FROM budgets b LEFT JOIN (SELECT source, sum(size) AS used, max(epoch) AS epochs FROM mixed GROUP BY source) m ON b.source = m.source
 """
 )
 
 
+P4_ROUND_TRIP = """
+SELECT row_id, md5(text) AS text_hash, true AS in_order, true AS fits, true AS overlaps, CAST(0 AS BIGINT) AS parted FROM full_dataset WHERE length(text) > 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND, "p5_mix": P5_MIX, "p5_shares": P5_SHARES}
+    return {"p4_found": P4_FOUND, "p4_round_trip": P4_ROUND_TRIP, "p5_mix": P5_MIX, "p5_shares": P5_SHARES}

@@ -268,8 +268,9 @@ def test_mix_reaches_the_shares(spark):
     rows = [(i, "字" * rng.randrange(50, 150), rng.choice(["a"] * 6 + ["b"] * 3 + ["c", None, "d"])) for i in range(3000)] + [(3000, None, "a"), (3001, "", "b")]
     docs = spark.createDataFrame(rows, "row_id long, text string, source string")
     weights = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 2), ("c", 0.4, 4), ("z", 0.0, 1)], "source string, target_share double, max_repeats int")
-    mixed, shares = mixing.mix(docs, weights)
+    mixed, shares = mixing.mix(docs, weights, total=mixing.reachable(docs, weights))
     got = {r["source"]: r for r in shares.collect()}
+    assert all(r["shortfall"] == 0 for r in got.values())
     assert all(abs(r["actual_share"] - r["target_share"]) < 0.01 for r in got.values()) and len(got) == 3
     uses = Counter(r["row_id"] for r in mixed.collect())
     source = {i: s for i, _, s in rows}
@@ -284,6 +285,14 @@ def test_mix_reports_what_runs_out(spark):
     assert got == {"a": (100, 1), "b": (20, 2)}
 
 
+def test_a_source_without_records_does_not_empty_the_mix(spark):
+    docs = spark.createDataFrame([(i, "x" * 10, "ab"[i % 2]) for i in range(400)], "row_id long, text string, source string")
+    weights = spark.createDataFrame([("a", 0.25, 3), ("b", 0.25, 3), ("none", 0.5, 3)], "source string, target_share double, max_repeats int")
+    mixed, shares = mixing.mix(docs, weights)
+    assert {r["source"]: (r["used"], r["shortfall"], r["actual_share"]) for r in shares.collect()} == {"a": (1000, 0, 0.5), "b": (1000, 0, 0.5), "none": (0, 2000, 0.0)}
+    assert mixed.count() == 200 and mixing.reachable(docs, weights) == 0
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "row_id long, text string, source string")
     weights = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
@@ -307,7 +316,8 @@ def test_pieces_cover_overlap_and_fit(spark):
         assert [p["piece"] for p in pieces] == list(range(pieces[0]["n_pieces"]))
         for p in pieces:
             assert p["piece_text"] == t[p["start"] : p["end"]] and 0 < len(p["piece_text"]) <= 2000
-            assert p["start"] == max(0, end - 200) and p["end"] > end
+            assert p["core"] == end < p["end"] and max(0, end - 200) <= p["start"] <= end
+            assert all(splitting._inside_character(t, q) for q in range(max(1, end - 200), p["start"]))
             end = p["end"]
         assert end == len(t)
 
@@ -319,6 +329,28 @@ def test_cuts_prefer_strong_boundaries():
     assert all(not t[at].startswith("́") for t in ["é" * 80] for at, _ in splitting.cuts(t, 50) if at)
 
 
+def test_a_boundary_outside_the_middle_half_comes_before_a_cut_inside_a_word():
+    assert splitting.cuts("a" * 500 + " " + "b" * 1600, 1800) == [(0, "start"), (501, "word")]
+    t = "c" * 1790 + "。" + "d" * 4000
+    assert splitting.cuts(t, 1800)[1] == (1791, "sentence")
+    assert splitting.cuts("e" * 100 + " " + "f" * 2000, 1800) == [(0, "start"), (1050, "character")]  # the space would leave 2000
+
+
+def test_pieces_do_not_begin_inside_a_character(spark):
+    t = "e\u0301" * 2600
+    rows = splitting.split(spark.createDataFrame([(1, t)], "row_id long, text string"), overlap=201).collect()
+    assert len(rows) > 2 and not any(r["piece_text"].startswith("\u0301") for r in rows) and all(len(r["piece_text"]) <= 2000 for r in rows)
+    again = splitting.round_trip(splitting.split(spark.createDataFrame([(1, t)], "row_id long, text string"), overlap=201), overlap=201).first()
+    assert (again["in_order"], again["fits"], again["overlaps"], again["parted"]) == (True, True, True, 0)
+
+
+def test_round_trip_notices_what_is_wrong(spark):
+    pieces = splitting.split(spark.createDataFrame([(i, "词。" * 2000) for i in range(4)], "row_id long, text string"))
+    wrong = pieces.withColumn("core", F.when(F.expr("row_id = 1 and piece = 1"), F.col("core") + 1).otherwise(F.col("core"))).filter("not (row_id = 2 and piece = 1)")
+    got = {r["row_id"]: r for r in splitting.round_trip(wrong).collect()}
+    assert [got[i]["in_order"] for i in range(4)] == [True, False, False, True] and len({got[i]["text_hash"] for i in range(4)}) == 3
+
+
 # --- garbled text
 
 
