@@ -1,11 +1,11 @@
 """Text decoded with the wrong character encoding: finding and restoring it with a hidden Markov model.
 
 The model has one clean state and one state per encoding pair (what the bytes were, as what they were read). The
-clean state emits characters as the whole corpus has them; a pair's state emits what its damage makes
-of characters drawn from those counts, so the model is trained on the corpus alone. States other than the clean
-one follow only themselves or the clean one. Each text gets its most probable labelling (Viterbi);
-each labelled span gets its state's inverse transform, and a span whose inverse isn't text that the corpus
-might hold is taken back.
+clean state emits characters as the corpus has them after an ASCII letter, a Chinese character, an accented or Cyrillic letter or anything else; a pair's state emits what its damage makes
+of characters drawn from the corpus, where the encoding can put them. States other than the clean
+one follow only themselves or the clean one; how often they are entered and how soon they are left is counted in the last labelling. Each text gets its most probable labelling (Viterbi);
+each labelled span gets its state's inverse transform. A span's likelihood is then taken as a whole: as the clean state's likelihood of what the inverse
+gives, against that of what stands there. This is the emission that single characters bound from above, and a span that it doesn't favour is clean.
 
 Two shortcuts leave the result as it is: a state whose best stretch of evidence, even if every
 character were well placed, can't pay for entering it is left out of a text, and a text with no state left is clean.
@@ -13,8 +13,8 @@ character were well placed, can't pay for entering it is left out of a text, and
 
 from __future__ import annotations
 
+import math
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +39,10 @@ SINGLE = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp437", "koi8_r")
 #: Pairs under which a lone character beyond ASCII says nothing: UTF-8 read by single bytes makes at least two of each, two-byte
 #: encodings are read in pairs, and letters for letters come in words.
 SEVERAL = [k for k, (_, was, as_, _, _) in enumerate(PAIRS) if as_ != "utf-8" and (was != "utf-8" or as_ in SINGLE)]
-ENTER, LEAVE = np.log(1e-3 / len(PAIRS)), np.log(0.05)
 LEAST = 2e-7  # probability of a character that a state never showed
 RARE = 2e-6  # no character counts as rarer than this in clean text
 DRAWN = 240_000  # characters drawn for a pair's emissions
+BACKOFF = 1_000.0  # characters of any context that a context's own counts are mixed with
 
 _TABLES: dict[str, tuple[str, dict[str, int]]] = {}
 
@@ -97,30 +97,61 @@ def _script(c: str) -> str:
     return ""
 
 
-class Model:
-    """Log likelihood ratios against the clean state, by character and pair."""
+#: What stands before a character decides how likely it is in clean text: an ASCII letter, a Chinese character,
+#: an accented letter or mark, a Cyrillic letter, or anything else.
+CONTEXTS = 5
+_CONTEXT = np.zeros(0x110000, dtype=np.int8)
+for _c in range(0x10000):
+    _CONTEXT[_c] = {"h": 2, "l": 3, "c": 4}.get(_script(chr(_c)), int(_c < 0x80 and chr(_c).isalpha()))
+SHIFT = 0x110000
+#: Counts beyond those of the characters: garbled stretches of each pair, characters of stretches up to STAY, and stretches that end before.
+STRETCHES = SHIFT * CONTEXTS
+STAY = 24  # stays are told apart up to this length; how long the longer ones are says nothing about how short ones end
+STRETCH = 1 << 17  # characters of a text that are held against all states at a time
+MISPLACED = -9.0  # a character that the pair's encoding can't have put there: noise of one in 10,000
+
+
+def before(data: np.ndarray, first: int = 0) -> np.ndarray:
+    """The context of each character of a text; ``first`` is that of the first."""
+    out = np.empty(len(data), dtype=np.int8)
+    out[:1] = first
+    out[1:] = _CONTEXT[data[:-1]]
+    return out
 
-    def __init__(self, counts: dict[int, int]) -> None:
-        """``counts``: how often the corpus has each code point."""
-        total = max(1, sum(counts.values()))
-        chars = sorted(counts)
-        clean = np.array([counts[c] for c in chars], dtype=float) / total
-        never = np.array([c == 0xFFFD or 0x80 <= c <= 0x9F and c != 0x85 or 0xE000 <= c <= 0xF8FF for c in chars], dtype=bool)
-        self.logs = {chr(c): float(np.log(max(p, LEAST))) for c, p in zip(chars, clean)}
-        self.common = {chr(c) for c, p, n in zip(chars, clean, never) if p >= 2e-6 and not n and not (0xA0 < c < 0xC0)}
-        clean = np.where(never, LEAST, np.maximum(clean, RARE))
-        self.index = np.zeros(0x110000, dtype=np.int32)
+
+class Model:
+    """Log likelihoods of the clean state by context and character, and of each pair's state by character."""
+
+    def __init__(self, counts: dict[int, int], labelled: bool = True) -> None:
+        """``counts``: how often the corpus has each code point in each context (context times 0x110000 and the code point), and its garbled stretches."""
+        seen = {c: n for c, n in counts.items() if c < STRETCHES}
+        single: dict[int, int] = {}
+        for c, n in seen.items():
+            single[c % SHIFT] = single.get(c % SHIFT, 0) + n
+        total = max(1, sum(single.values()))
+        chars = sorted(single)
+        self.index = np.zeros(SHIFT, dtype=np.int32)
         self.index[np.array(chars, dtype=np.int64)] = np.arange(1, len(chars) + 1)
-        self.ratio = np.zeros((len(PAIRS), len(chars) + 1), dtype=np.float32)
+        never = np.array([c == 0xFFFD or 0x80 <= c <= 0x9F and c != 0x85 or 0xE000 <= c <= 0xF8FF for c in chars], dtype=bool)
+        clean = np.where(never, LEAST, np.maximum(np.array([single[c] for c in chars], dtype=float) / total, RARE))
+        given = np.zeros((CONTEXTS, len(chars)))
+        keys = np.array(sorted(seen), dtype=np.int64)
+        given[keys // SHIFT, self.index[keys % SHIFT] - 1] = [seen[k] for k in keys.tolist()]
+        given[:, never] = 0
+        given = (given + BACKOFF * clean) / (given.sum(axis=1, keepdims=True) + BACKOFF)
+        self.clean = np.full((CONTEXTS, len(chars) + 1), np.log(LEAST), dtype=np.float32)
+        self.clean[:, 1:] = np.log(np.maximum(given, LEAST))
+        self.made = np.zeros((len(PAIRS), len(chars) + 1), dtype=np.float32)
         rng = np.random.default_rng(11)
         by_script: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for s in "hlc":
-            own = np.array([c for c in chars if _script(chr(c)) == s and counts[c] >= total * RARE / 4], dtype=np.int64)
+            own = np.array([c for c in chars if _script(chr(c)) == s and single[c] >= total * RARE / 4], dtype=np.int64)
             if len(own):
-                p = np.array([counts[c] for c in own.tolist()], dtype=float) ** 0.75
+                p = np.array([single[c] for c in own.tolist()], dtype=float) ** 0.75
                 by_script[s] = own, p / p.sum()
         ascii_ = np.array([c < 0x80 for c in chars], dtype=bool)
         letter = np.array([c < 0x80 and chr(c).isalpha() for c in chars], dtype=bool)
+        self.plain = np.zeros((len(PAIRS), len(chars) + 1), dtype=np.float32)  # ASCII characters against the clean state
         for k, (_, was, as_, times, scripts) in enumerate(PAIRS):
             emitted = np.zeros(len(chars))
             used = [s for s in scripts if s in by_script]
@@ -131,19 +162,33 @@ class Model:
                     drawn = " ".join(drawn)
                 out = np.frombuffer(damage(drawn, was, as_, times).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 out = out[out >= 0x80]
-                at = self.index[out]
-                got = np.bincount(at, minlength=len(chars) + 1)[1:].astype(float)
+                got = np.bincount(self.index[out], minlength=len(chars) + 1)[1:].astype(float)
                 emitted += got / max(1, len(out)) / len(used)
-            ratio = np.log(np.maximum(emitted, LEAST) / clean)
             # What a pair never makes speaks against it, however rare it is.
-            ratio = np.where(emitted < LEAST, np.minimum(ratio, -2.0), ratio)
-            ratio = np.where(ascii_, np.where(letter & ("l" not in scripts), -1.0, -0.02), ratio)
-            self.ratio[k, 1:] = ratio
-        self.ratio[:, 0] = -2.0
-        self.top = self.ratio.max(axis=0)
-        self.gain = np.maximum(self.top, 0)
+            self.made[k, 1:] = np.where(emitted < LEAST, np.minimum(np.log(clean) - 2.0, np.log(LEAST)), np.log(np.maximum(emitted, LEAST)))
+            self.plain[k, 1:] = np.where(ascii_, np.where(letter & ("l" not in scripts), -1.0, -0.02), 0)
+        self.made[:, 0] = np.log(LEAST) - 2.0
+        # Contexts that aren't labelled yet are full of garbled characters after garbled ones, so paths do without them.
+        self.path = self.clean if labelled else np.repeat(np.concatenate([[np.log(LEAST)], np.log(clean)])[None, :], CONTEXTS, axis=0).astype(np.float32)
+        self.top = (self.made.max(axis=0)[None, :] - self.path).astype(np.float32)
+        self.top[:, 1:][:, ascii_] = -0.02
         self.chars = [""] + [chr(c) for c in chars]
         self._raw: dict[str, tuple[list[bytes], np.ndarray]] = {}
+        # Transitions: how often the last labelling entered each pair's state, and how soon it left. Half is the prior.
+        entered = [counts.get(STRETCHES + k, 0) for k in range(len(PAIRS))]
+        inside, left = counts.get(STRETCHES + len(PAIRS), 0), counts.get(STRETCHES + len(PAIRS) + 1, 0)
+        self.enter = np.array([math.log((e / (total + inside) + 1e-3 / len(PAIRS)) / 2) for e in entered])
+        self.leave = math.log((left + 50) / (inside + 1_000))
+        self.lost = math.log(0.1)
+
+    def likelihood(self, text: str, first: int, lost: float) -> tuple[float, int]:
+        """Log likelihood of clean text after a context, each lost character counting ``lost``, and the context that it leaves."""
+        data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        if not len(data):
+            return 0.0, first
+        gone = data == 0xFFFD
+        each = self.clean[before(data, first), self.index[data]]
+        return float(each[~gone].sum() + lost * gone.sum()), int(_CONTEXT[data[-1]])
 
     def raw(self, codec: str) -> tuple[list[bytes], np.ndarray]:
         """What each character was read from, FF where that can't be, and its length; by index."""
@@ -201,7 +246,7 @@ def _best_stretches(x: np.ndarray) -> np.ndarray:
     return (total - np.minimum.accumulate(total, axis=1)).max(axis=1)
 
 
-def _viterbi(jobs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+def _viterbi(jobs: list[np.ndarray], enter_: list[np.ndarray], leave_: float) -> list[list[tuple[int, int, int]]]:
     """For each job (states by positions) the spans (begin, end, state) that its most probable path spends outside the clean state.
 
     Jobs of like length advance together, a position at a time.
@@ -217,6 +262,9 @@ def _viterbi(jobs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
             most = max(most, jobs[take[-1]].shape[0])
         rows = np.full((longest, len(take), most), -50.0, dtype=np.float32)
         sizes = np.array([jobs[k].shape[1] for k in take])
+        entering = np.full((len(take), most), -1e9)
+        for r, k in enumerate(take):
+            entering[r, : len(enter_[k])] = enter_[k]
         for r, k in enumerate(take):
             rows[: sizes[r], r, : jobs[k].shape[0]] = jobs[k].T
         clean, there = np.zeros(len(take)), np.full((len(take), most), -1e9)
@@ -227,8 +275,8 @@ def _viterbi(jobs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
         alive = len(take)
         for t in range(longest):
             history[t] = there
-            leave = there.max(axis=1) + LEAVE
-            enter = (clean + ENTER)[:, None]
+            leave = there.max(axis=1) + leave_
+            enter = clean[:, None] + entering
             np.greater(enter, there, out=entered[t])
             there = np.maximum(enter, there)
             there += rows[t]
@@ -276,31 +324,27 @@ def _inverse(span: str, was: str, as_: str, times: int) -> tuple[str, bool]:
     return span, whole
 
 
-def _believable(model: Model, span: str, restored: str, before: str, after: str, strong: bool) -> bool:
-    high = [c for c in restored if ord(c) >= 0x80 and c != LOST]
-    if strong and LOST in span:  # with bytes lost, what follows them may be read out of step
-        return True
-    if not high:
-        return False
-    if len(restored) == len(span):  # letters for letters: they must be likelier than what stands there
-        gain = [model.logs.get(y, -16.0) - model.logs.get(x, -16.0) for x, y in zip(span, restored) if ord(x) >= 0x80]
-        if sum(gain) < 0.5 * len(gain):
-            return False
-    known = sum(c in model.common for c in high) / len(high)
-    if known < (0.6 if strong else 0.75):
-        return False
-    around = before + restored + after
-    i = len(before)
-    touching = sum(_script(c) == "h" and any(x.isascii() and x.isalpha() for x in (around[max(0, i + k - 1) : i + k], around[i + k + 1 : i + k + 2])) for k, c in enumerate(restored))
-    if touching * 2 >= len(high):  # Chinese characters inside words of letters
-        return False
-    if len(high) <= 2 and all(_script(c) == "l" and c.isalpha() for c in high):
-        # A lone accented letter belongs to a word or stands between spaces.
-        i = restored.index(high[0])
-        left = restored[i - 1] if i else before
-        right = restored[i + 1] if i + 1 < len(restored) else after
-        return any(x and (x.isascii() and x.isalpha() or _script(x) == "l" and x.isalpha()) for x in (left, right)) or left in ("", " ", "\n") and right in ("", " ", "\n")
-    return True
+def _evidence(model: Model, span: str, restored: str, last: str, following: str, state: int) -> float:
+    """Log likelihood ratio of a whole stretch: what it was, as clean text, through the pair's transform, against what stands there as clean text.
+
+    The states' emissions by single characters know what a pair can make; this knows what it made it of. A character lost in the
+    stretch is one that clean text doesn't have; one that the inverse itself can't read speaks as much against the pair.
+    """
+    first = int(_CONTEXT[ord(last)]) if last else 0
+    own_lost = min(span.count(LOST), restored.count(LOST))
+    was, end = model.likelihood(restored, first, 0.0)
+    stands, here = model.likelihood(span, first, math.log(LEAST))
+    was += own_lost * model.lost + (restored.count(LOST) - own_lost) * 2 * math.log(LEAST)
+    if following:
+        at = int(model.index[ord(following)])
+        was, stands = was + float(model.clean[end, at]), stands + float(model.clean[here, at])
+    return was - stands + float(model.enter[state]) + model.leave
+
+
+def _runs(on: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Begin and end of each run of true values, cut where it is longer than ``most``."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
+    return [(x, min(x + most, int(b))) for a, b in edges.reshape(-1, 2) for x in range(int(a), int(b), most)]
 
 
 def _regions(model: Model, text: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -308,20 +352,26 @@ def _regions(model: Model, text: str) -> list[tuple[int, np.ndarray, np.ndarray]
     if text.isascii():
         return []
     data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    at = model.index[data]
-    need = -ENTER
-    if model.gain[at].sum() <= need:
-        return []
-    hopeful = np.flatnonzero(_through(model.top[None, at])[0] > need)
-    if not len(hopeful):
+    at, context = model.index[data], before(data)
+    need = -model.enter.max()
+    top = model.top[context, at]
+    if np.maximum(top, 0).sum() <= need:
         return []
-    start = int(hopeful[0])
-    data, at = data[start : hopeful[-1] + 1], at[start : hopeful[-1] + 1]
-    ratios = model.ratio[:, at]
-    ratios[np.ix_(SEVERAL, np.flatnonzero(_lone(data >= 0x80)))] = -4.0
+    found = []
+    for start, stop in _runs(_through(top[None, :])[0] > need, STRETCH):
+        found += _region(model, data, at, context, start, stop, need)
+    return found
+
+
+def _region(model: Model, data: np.ndarray, at: np.ndarray, context: np.ndarray, start: int, stop: int, need: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    left, right = max(0, start - 8), min(len(data), stop + 8)  # what is placed is told with the neighbours
+    wide, wide_at = data[left:right], at[left:right]
+    data, at, context = data[start:stop], at[start:stop], context[start:stop]
+    plain = np.flatnonzero(data < 0x80)
+    ratios = model.made[:, at] - model.path[context, at]
+    ratios[:, plain] = model.plain[:, at[plain]]
+    ratios[np.ix_(SEVERAL, np.flatnonzero(_lone(wide >= 0x80)[start - left : stop - left]))] = MISPLACED
     likely = np.flatnonzero(np.maximum(ratios, 0).sum(axis=1) > need)
-    if not len(likely):
-        return []
     rows = ratios[likely]
     worthy = _best_stretches(rows) > need
     likely, rows = likely[worthy], rows[worthy]
@@ -332,14 +382,12 @@ def _regions(model: Model, text: str) -> list[tuple[int, np.ndarray, np.ndarray]
         _, was, as_, _, _ = PAIRS[k]
         if was == "utf-8":
             if as_ not in places:
-                places[as_] = ~_placed(model, data, at, as_)
-            row[places[as_]] = -4.0
+                places[as_] = ~_placed(model, wide, wide_at, as_)[start - left : stop - left]
+            row[places[as_]] = MISPLACED
     # A span of a state in the best path pays for entering, so it lies where a stretch that does is possible.
     active = _through(rows) > need
-    anywhere = np.concatenate([[False], active.any(axis=0), [False]])
-    begins, ends = np.flatnonzero(anywhere[1:] & ~anywhere[:-1]), np.flatnonzero(~anywhere[1:] & anywhere[:-1])
     found = []
-    for x, y in zip(begins.tolist(), ends.tolist()):
+    for x, y in _runs(active.any(axis=0), STRETCH):
         use = np.flatnonzero(active[:, x:y].any(axis=1))
         found.append((start + x, likely[use], rows[use, x:y]))
     return found
@@ -352,16 +400,18 @@ def label(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, in
         for begin, states, rows in _regions(model, text) if text else []:
             jobs.append(rows)
             owner.append((i, begin, states))
-    out: list[list[tuple[int, int, int, str, bool]]] = [[] for _ in texts]
-    for (i, begin, states), spans in zip(owner, _viterbi(jobs)):
-        for a, b, s in spans:
-            if (found := _restored(model, texts[i], begin + a, begin + b, int(states[s]))) is not None:  # type: ignore[arg-type]
-                out[i].append(found)
-    return out
+    spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for (i, begin, states), labelled in zip(owner, _viterbi(jobs, [model.enter[states] for *_, states in owner], model.leave)):
+        for a, b, s in labelled:
+            a, b, k = begin + a, begin + b, int(states[s])
+            if spans[i] and spans[i][-1][1:] == (a, k):  # cut by the stretch
+                a = spans[i].pop()[0]
+            spans[i].append((a, b, k))
+    return [[found for a, b, k in own if (found := _restored(model, text, a, b, k)) is not None] if own else [] for text, own in zip(texts, spans)]
 
 
 def _restored(model: Model, text: str, a: int, b: int, k: int) -> tuple[int, int, int, str, bool] | None:
-    """A labelled span without the plain characters at its ends, and what it was, if that is believable."""
+    """A labelled span without the plain characters at its ends, and what it was, if its likelihood favours that."""
     while a < b and text[a] < "\x80":
         a += 1
     while b > a and text[b - 1] < "\x80":
@@ -378,30 +428,35 @@ def _restored(model: Model, text: str, a: int, b: int, k: int) -> tuple[int, int
         again, whole_again = _inverse(span, was, as_, 1)
         if whole_again or again.count(LOST) < restored.count(LOST):
             k, restored, whole = once, again, whole_again
-    if not _believable(model, span, restored, text[a - 1 : a], text[b : b + 1], b - a >= 12):
+    if _evidence(model, span, restored, text[max(0, a - 1) : a], text[b : b + 1], k) <= 0:
         return None
     return a, b, k, restored, whole
 
 
 def _count(model: Model | None):
-    """How often each code point stands in the texts, or in what the model labels clean."""
+    """How often each code point stands in each context in the texts, or in what the model labels clean, and the stretches that it labels garbled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0x110000, dtype=np.int64)
+        seen = np.zeros(STRETCHES + len(PAIRS) + 2, dtype=np.int64)
         for batch in batches:
-            texts, clean = batch.column(0).to_pylist(), []
+            texts, keys = batch.column(0).to_pylist(), []
             for t, spans in zip(texts, label(model, texts) if model is not None else [[]] * len(texts)):
                 if not t:
                     continue
+                data = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                key = before(data).astype(np.int32) * np.int32(SHIFT) + data.astype(np.int32)
                 if spans:
-                    parts, last = [], 0
-                    for a, b, *_ in spans:
-                        parts.append(t[last:a])
-                        last = b
-                    t = "".join(parts) + t[last:]
-                clean.append(t)
-            data = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            seen += np.bincount(data, minlength=0x110000)
+                    clean = np.ones(len(key), dtype=bool)
+                    for a, b, k, *_ in spans:
+                        clean[a:b] = False
+                        seen[STRETCHES + k] += 1
+                        seen[STRETCHES + len(PAIRS)] += min(b - a, STAY)
+                        seen[STRETCHES + len(PAIRS) + 1] += b - a < STAY
+                    key = key[clean]
+                keys.append(key)
+            if keys:
+                found, n = np.unique(np.concatenate(keys), return_counts=True)
+                seen[found] += n
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["c", "n"])
 
@@ -409,16 +464,16 @@ def _count(model: Model | None):
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = 2) -> Model:
-    """The model of a corpus, trained by hard expectation maximization.
+    """The model of a corpus, trained by hard expectation maximization: emissions of the clean state and transitions.
 
-    The first round counts all characters, each further one those that the last model labels clean. Only
-    the counts, at most one for each code point, come to the driver.
+    The first round counts all characters, each further one those that the last model labels clean, and the stretches that it doesn't. Only
+    the counts, at most one for each code point and context, come to the driver.
     """
     model, counts = None, {}
     for _ in range(rounds):
         counted = docs.select(F.col(text).alias("text")).mapInArrow(_count(model), "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
         counts = dict.fromkeys(counts, 0) | {r["c"]: r["n"] for r in counted.collect()}
-        model = Model(counts)
+        model = Model(counts, labelled=model is not None)
     return model
 
 

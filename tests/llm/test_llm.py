@@ -367,7 +367,12 @@ CLEAN = [
 @pytest.fixture(scope="module")
 def model():
     counts = Counter("".join(CLEAN[:2]) * 8000 + "".join(CLEAN[2:]) * 200)  # mostly Chinese
-    return garble.Model({ord(c): n for c, n in counts.items()} | {ord(c): 0 for t in CLEAN for _, a, b, n, _ in garble.PAIRS for c in garble.damage(t, a, b, n) if c not in counts})
+    seen = Counter()
+    for t, n in [("".join(CLEAN[:2]), 8000), ("".join(CLEAN[2:]), 200)]:
+        data = np.array([ord(c) for c in t], dtype=np.uint32)
+        for key in (garble.before(data).astype(int) * garble.SHIFT + data).tolist():
+            seen[key] += n
+    return garble.Model(dict(seen) | {ord(c): 0 for t in CLEAN for _, a, b, n, _ in garble.PAIRS for c in garble.damage(t, a, b, n) if c not in counts})
 
 
 @pytest.mark.parametrize("was, as_, times", [("utf-8", "cp1252", 1), ("utf-8", "latin-1", 1), ("utf-8", "mac_roman", 1), ("utf-8", "cp1252", 2), ("gb18030", "cp1252", 1)])
@@ -397,6 +402,26 @@ def test_garbled_documents_on_spark(spark):
     assert garble.repair(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_transitions_are_counted(spark):
+    rows = [(i, t) for i, t in enumerate(CLEAN * 40)] + [(1000 + i, "完整。" + garble.damage(CLEAN[i % 2], "utf-8", "cp1252", 1)) for i in range(30)]
+    model = garble.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    own = next(k for k, p in enumerate(garble.PAIRS) if p[0] == "utf-8>cp1252")
+    assert model.enter.argmax() == own and (np.delete(model.enter, own) < model.enter[own] - 2).all()
+    assert [len(x) for x in garble.label(model, [rows[0][1], rows[-1][1]])] == [0, 1]
+
+
+def test_long_texts_are_cut_into_stretches_and_labelled_whole(model, monkeypatch):
+    monkeypatch.setattr(garble, "STRETCH", 100)
+    bad = garble.damage(CLEAN[0], "utf-8", "cp1252", 1)
+    assert [(a, b, r) for a, b, _, r, _ in garble.label(model, ["完整。" + bad * 9])[0]] == [(3, 3 + 9 * len(bad), CLEAN[0] * 9)]
+
+
+def test_cyrillic_is_not_taken_for_chinese_read_by_single_bytes(spark):
+    russian = [(i, f"Почему старый причал у деревни важнее, чем сундук номер {i}? Говорят, что берег и мост видели много раз.") for i in range(60)]
+    df = spark.createDataFrame(russian + [(100 + i, t) for i, t in enumerate(CLEAN[:2] * 100)] + [(900, garble.damage(CLEAN[1], "gb18030", "cp1251", 1))], "doc_id long, text string")
+    assert [r["doc_id"] for r in garble.repair(df).collect()] == [900]
+
+
 # --- cut texts
 
 
