@@ -1,10 +1,11 @@
 """Texts that were cut off by a field limit or in transfer.
 
-Two kinds of evidence are combined for each text. Lengths: for each source and each way of measuring (characters,
-characters without what was appended, bytes) a right-censored log-normal distribution is fitted by maximum likelihood;
+Two kinds of evidence are combined for each text. Lengths: for each source and each way of measuring (characters
+without what was appended, bytes without it, all characters) a right-censored log-normal distribution is fitted by maximum likelihood;
 lengths held by far more texts than it expects are candidate limits, and the censoring
 posterior of a text at one is the part of these texts that the distribution doesn't expect. Endings: a logistic
-model of how texts end, trained on this corpus without labels: the ends of texts and of their inner lines are complete, the same texts cut
+model of how texts end, trained on this corpus without labels. Real texts teach it by their posterior: those at a limit are cut with that
+probability, the others complete; the ends of inner lines are complete too, and texts cut
 at random places inside sentences are not. The log odds of both are added.
 """
 
@@ -22,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import stage
+from scriptorium.session import release, stage
 
 # What is put in the place of cut text.
 MARKERS = re.compile(r"(?:\s*(?:[\[【(（<〈《]\s*(?:\.{3,}|…+|更多|展开全文|阅读全文|查看全文|全文|省略|未完|more|read more|truncated|continued|cut)\s*[\]】)）>〉》]|(?:阅读全文|展开全文|查看全文|查看更多|更多内容|未完待续|read more|continue reading)\s*[>»]*)\s*)+$", re.I)
 ELLIPSIS = re.compile(r"(?:…+|\.{3,}|。{3,})$")
 TERMINAL = frozenset("。！？!?.;；~～」』”’\"')）]】》〉}>")
-FINAL = frozenset("。！？!?.")  # marks that end sentences
-CLOSERS = "」』”’\"')）]】》〉}>"
 LIST = re.compile(r"(?:[-*+•]|\d+[.、)）]|[一二三四五六七八九十]+、)\s*")
 # How units of markup and transfer formats begin; a text that breaks off behind one is cut.
 OPENERS = ("`", "```\n", "（", "(", "《", "“", "‘", "**", "__", "<", "<b>", "[", "![", "[x](", "【", "{\"", "&", "&#", "\\", "\\n", "\\u", "\n- ", "\n| ", "\n1. ", "\n## ")
@@ -120,66 +119,59 @@ def _inside(text: str, at: int) -> bool:
     return text[at - 1] not in TERMINAL and not text[at - 1].isspace() and not text[at].isspace() and text[at] not in TERMINAL and text[at] != "…"
 
 
-def fit(texts: list[str], at_limit: list[bool], seed: int = 5) -> np.ndarray:
-    """Weights of the model of endings: for the features, and last the constant.
-
-    ``at_limit`` says which texts have the length of a candidate limit; their ends are no examples of complete ones.
-    """
+def examples(text: str, posterior: float, seed: int) -> list[tuple[list[int], float, bool]]:
+    """What a text teaches the model of endings: features, probability of being cut, whether it is a real end away from limits."""
+    rng = np.random.default_rng(seed)
+    rows = [(features(text), posterior, posterior == 0)]
+    breaks = [m.start() for m in re.finditer(r"(?<=\S)\n", text)]
+    rows += [(features(text[:at]), 0.0, False) for at in (rng.permutation(breaks)[:2].tolist() if breaks else ())]
+    if len(text) > 20:
+        places = [p for p in rng.integers(len(text) // 4, len(text), 8).tolist() if _inside(text, p)][:3]
+        for at, how in zip(places, rng.integers(0, 4, 3).tolist()):
+            more = int(rng.integers(0, 4))
+            bare = (text[:at], text[:at] + MARKED[int(rng.integers(0, len(MARKED)))], text[:at] + ("�", " ", "\n")[more % 3])
+            # Cut as it stands, with something put in its place, or behind the beginning of a unit.
+            rows += [(features(cut), 1.0, False) for cut in (bare[min(how, 2)], text[:at] + OPENERS[int(rng.integers(0, len(OPENERS)))] + text[at : at + more])]
+    return rows
+
+
+def fit(rows: list[list[int]], cut: np.ndarray, real: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Weights of the model of endings: for the features, and last the constant. ``rows``, ``cut`` and ``real`` are those of ``examples``."""
     rng = np.random.default_rng(seed)
-    rows: list[list[int]] = []
-    labels, real = [], []
-    for text, limited in zip(texts, at_limit):
-        if not text or not text.strip():
-            continue
-        if not limited:
-            rows.append(features(text))
-            labels.append(0)
-            real.append(True)
-        breaks = [m.start() for m in re.finditer(r"(?<=\S)\n", text)]
-        for at in rng.permutation(breaks)[:2] if breaks else ():
-            rows.append(features(text[:at]))
-            labels.append(0)
-            real.append(False)
-        if len(text) > 20:
-            places = [p for p in rng.integers(len(text) // 4, len(text), 8).tolist() if _inside(text, p)][:3]
-            for at, how in zip(places, rng.integers(0, 4, 3).tolist()):
-                more = int(rng.integers(0, 4))
-                bare = (text[:at], text[:at] + MARKED[int(rng.integers(0, len(MARKED)))], text[:at] + ("�", " ", "\n")[more % 3])
-                # Cut as it stands, with something put in its place, or behind the beginning of a unit.
-                for cut in (bare[min(how, 2)] if how else bare[0], text[:at] + OPENERS[int(rng.integers(0, len(OPENERS)))] + text[at : at + more]):
-                    rows.append(features(cut))
-                    labels.append(1)
-                    real.append(False)
-    w = np.zeros(WEIGHTS + 1)
-    if not rows:
+    w = np.zeros(WEIGHTS + 1, dtype=np.float32)
+    if not len(rows):
         return w
     width = max(map(len, rows)) + 1
     index = np.full((len(rows), width), WEIGHTS, dtype=np.int64)  # the constant fills the rest
-    on = np.zeros((len(rows), width))
+    on = np.zeros((len(rows), width), dtype=np.float32)
     for i, r in enumerate(rows):
         index[i, : len(r)] = r
         on[i, : len(r)] = 1.0
         on[i, -1] = 1.0
-    y, mine = np.array(labels, dtype=float), np.array(real)
-    trust = np.ones(len(rows))
+    y = cut.astype(np.float32)
+    trust = np.ones(len(rows), dtype=np.float32)
     for _ in range(2):
-        w = np.zeros(WEIGHTS + 1)
-        seen = np.full(WEIGHTS + 1, 1e-6)
-        for _ in range(12):
+        w = np.zeros(WEIGHTS + 1, dtype=np.float32)
+        seen, mean = np.full(WEIGHTS + 1, 1e-6, dtype=np.float32), np.zeros(WEIGHTS + 1)
+        for epoch in range(12):
             order = rng.permutation(len(rows))
             for k in range(0, len(order), 256):
                 part = order[k : k + 256]
                 # Some features are left out at random each time, so that each learns to speak for itself.
-                used = on[part] * (rng.random((len(part), width)) > 0.35)
+                at = index[part]
+                used = on[part] * (rng.random((len(part), width), dtype=np.float32) > 0.35)
                 used[:, -1] = 1.0
-                p = 1 / (1 + np.exp(-np.clip((w[index[part]] * used).sum(axis=1), -30, 30)))
-                g = np.zeros(WEIGHTS + 1)
-                np.add.at(g, index[part], ((p - y[part]) * trust[part])[:, None] * used / len(part))
+                p = 1 / (1 + np.exp(-np.clip((w[at] * used).sum(axis=1), -30, 30)))
+                g = np.bincount(at.ravel(), weights=(((p - y[part]) * trust[part])[:, None] * used).ravel(), minlength=WEIGHTS + 1).astype(np.float32)
+                g /= len(part)
                 g += 2e-5 * w
                 seen += g * g
                 w -= 0.4 * g / np.sqrt(seen)
+            if epoch >= 4:  # the mean of the later epochs depends less on the order of the examples
+                mean += w / 8
+        w = mean.astype(np.float32)
         z = (w[index] * on).sum(axis=1)
-        trust = np.where(mine & (z > 1.0), 0.0, 1.0)  # real ends that look cut are no examples of complete ones
+        trust = np.where(real & (z > 1.0), 0.0, 1.0).astype(np.float32)  # real ends that look cut are no examples of complete ones
     return w
 
 
@@ -210,8 +202,14 @@ def censored_fit(x: np.ndarray, n: np.ndarray, censored: np.ndarray, rounds: int
     return mu, sigma
 
 
-def find_limits(lengths: np.ndarray, counts: np.ndarray, width: int) -> list[tuple[int, float, float]]:
-    """Candidate limits of one source: (limit, texts up to ``width`` - 1 below it, censoring posterior).
+def _significant(held: np.ndarray, expected: np.ndarray, n_lengths: int) -> np.ndarray:
+    """Where far more texts have a length than expected: so many that chance gives them to one of all lengths once in a million times (Chernoff)."""
+    rarity = held * np.log(np.maximum(held, 1e-9) / expected) - held + expected
+    return (held >= FEWEST) & (held > 2 * expected) & (rarity > math.log(n_lengths) + math.log(1e6))
+
+
+def find_limits(lengths: np.ndarray, counts: np.ndarray, width: int) -> list[tuple[int, float, float, int]]:
+    """Candidate limits of one source: (limit, texts up to ``width`` - 1 below it, how many of these are expected, distinct lengths).
 
     ``width`` is 1 for characters; for bytes 3, as a cut falls before the character that doesn't fit.
     """
@@ -223,7 +221,7 @@ def find_limits(lengths: np.ndarray, counts: np.ndarray, width: int) -> list[tup
     upto = np.concatenate([[0.0], np.cumsum(counts)])
     held = upto[1:] - upto[np.searchsorted(lengths, lengths - width, side="right")]
     limits: list[int] = []
-    found: list[tuple[int, float, float]] = []
+    found: list[tuple[int, float, float, int]] = []
     while True:  # each round adds a length, or ends
         censored = np.zeros(len(lengths), dtype=bool)
         for v in limits:
@@ -232,55 +230,76 @@ def find_limits(lengths: np.ndarray, counts: np.ndarray, width: int) -> list[tup
         edge = _phi((np.log(np.maximum(lengths + 0.5, 0.5)) - mu) / sigma) - _phi((np.log(np.maximum(lengths + 0.5 - width, 0.5)) - mu) / sigma)
         expected = np.maximum(total * edge, 0.02 * width)
         over = np.where(censored, 0.0, held)
-        # Far more texts than expected: so many that chance gives them to one of all lengths once in a million times (Chernoff).
-        rarity = over * np.log(np.maximum(over, 1e-9) / expected) - over + expected
-        good = (over >= FEWEST) & (over > 2 * expected) & (rarity > math.log(len(lengths)) + math.log(1e6))
-        found = [(v, float(held[lengths == v][0]), float(1 - min(1.0, expected[lengths == v][0] / held[lengths == v][0]))) for v in limits]
+        good = _significant(over, expected, len(lengths))
+        found = [(v, float(held[lengths == v][0]), float(expected[lengths == v][0]), len(lengths)) for v in limits]
         if not good.any():
             break
         limits.append(int(lengths[np.argmax(np.where(good, over / np.sqrt(expected), 0))]))
     return found
 
 
-MEASURES = {"chars": 1, "core_chars": 1, "core_bytes": 3}
+#: Ways of measuring and how far below a limit a cut may fall.
+MEASURES = {"core_chars": 1, "core_bytes": 3, "chars": 1}
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, source, text -> key, source, text, chars, core_chars, core_bytes."""
+    """source, text -> source and the lengths by MEASURES."""
     for batch in batches:
-        out: list[list[int]] = [[], [], []]
-        for t in batch.column(2).to_pylist():
-            bare, _ = core(t)
-            out[0].append(len(t))
-            out[1].append(len(bare))
-            out[2].append(len(bare.encode("utf-8", "surrogatepass")))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int32()) for c in out)], names=["key", "source", *MEASURES])
+        sizes = [_sizes(t, core(t)[0]) for t in batch.column(1).to_pylist()]
+        columns = list(zip(*sizes)) or [()] * len(MEASURES)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int32()) for c in columns)], names=["source", *MEASURES])
+
+
+def _sizes(text: str, bare: str) -> tuple[int, int, int]:
+    return len(bare), len(bare.encode("utf-8", "surrogatepass")), len(text)
+
+
+def _limits_of(group: pd.DataFrame) -> pd.DataFrame:
+    measure = group["measure"].iloc[0]
+    rows = [(group["source"].iloc[0], measure, *f) for f in find_limits(group["length"].to_numpy(), group["n"].to_numpy(), MEASURES[measure])]
+    return pd.DataFrame(rows, columns=["source", "measure", "length_limit", "n_at", "expected", "n_lengths"])
+
+
+def _still_limits(group: pd.DataFrame) -> pd.DataFrame:
+    good = group[[bool(_significant(np.array([n]), np.array([e]), k)[0]) for n, e, k in zip(group["n"], group["expected"], group["n_lengths"])]]
+    return pd.DataFrame({"source": good["source"], "measure": good["measure"], "length_limit": good["length_limit"], "n_at": good["n"].astype(float), "posterior": 1 - np.minimum(1.0, good["expected"] / good["n"])})
 
 
 def limits(measured: DataFrame) -> DataFrame:
-    """``source``, ``measure``, ``length_limit``, ``n_at``, ``posterior``: the candidate limits of every source.
+    """``source``, ``measure``, ``length_limit``, ``n_at``, ``posterior``: the limits of every source.
 
+    What is appended to texts cut at one length, or taken off for it, makes neighbouring lengths frequent too. So each text at candidates of several
+    measures counts only for the one that most texts have, and a candidate that isn't far more frequent than expected by these texts alone is none.
     What a group gathers is a histogram: one row for each length, however many texts have it.
     """
     lengths = measured.select("source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES))).alias("m")).select("source", "m.*")
     histogram = lengths.groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = find_limits(group["length"].to_numpy(), group["n"].to_numpy(), MEASURES[group["measure"].iloc[0]])
-        rows = [(group["source"].iloc[0], group["measure"].iloc[0], *f) for f in found]
-        return pd.DataFrame(rows, columns=["source", "measure", "length_limit", "n_at", "posterior"])
-
-    return histogram.groupBy("source", "measure").applyInPandas(run, "source string, measure string, length_limit int, n_at double, posterior double")
+    candidates = stage(histogram.groupBy("source", "measure").applyInPandas(_limits_of, "source string, measure string, length_limit int, n_at double, expected double, n_lengths int"), "candidates")
+    rows = measured
+    for measure, width in MEASURES.items():
+        own = candidates.filter(F.col("measure") == measure).select(F.col("source").alias("s"), F.explode(F.sequence(F.col("length_limit") - width + 1, "length_limit")).alias("held"), F.struct("n_at", F.lit(measure).alias("measure"), "length_limit").alias("limit"))
+        own = own.groupBy("s", "held").agg(F.max("limit").alias(f"at_{measure}"))
+        rows = rows.join(own, F.col("source").eqNullSafe(F.col("s")) & (F.col(measure) == F.col("held")), "left").drop("s", "held")
+    counted = rows.withColumn("at", F.greatest(*(f"at_{m}" for m in MEASURES))).filter("at is not null").groupBy("source", "at.measure", "at.length_limit").agg(F.count("*").alias("n"))
+    known = candidates.select(F.col("source").alias("s"), F.col("measure").alias("m"), F.col("length_limit").alias("l"), "expected", "n_lengths")
+    counted = counted.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("measure") == F.col("m")) & (F.col("length_limit") == F.col("l")))
+    return stage(counted.select("source", "measure", "length_limit", "n", "expected", "n_lengths").groupBy("source").applyInPandas(_still_limits, "source string, measure string, length_limit int, n_at double, posterior double"), "limits")
 
 
 def _posterior(text: str, bare: str, limits_: list[dict] | None) -> float:
     """The largest censoring posterior of a text at its source's limits."""
-    most = 0.0
-    for x in limits_ or ():
-        size = len(text) if x["measure"] == "chars" else len(bare) if x["measure"] == "core_chars" else len(bare.encode("utf-8", "surrogatepass"))
-        if x["length_limit"] - MEASURES[x["measure"]] < size <= x["length_limit"]:
-            most = max(most, x["posterior"])
-    return most
+    if not limits_:
+        return 0.0
+    size = dict(zip(MEASURES, _sizes(text, bare)))
+    return max((x["posterior"] for x in limits_ if x["length_limit"] - MEASURES[x["measure"]] < size[x["measure"]] <= x["length_limit"]), default=0.0)
+
+
+def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, text, limits of the source -> the examples."""
+    for batch in batches:
+        rows = [e for h, text, own in zip(*(c.to_pylist() for c in batch.columns)) for e in examples(text, _posterior(text, core(text)[0], own), h & 0xFFFFFFFF)]
+        found, cut, real = list(zip(*rows)) or ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(cut, pa.float64()), pa.array(real, pa.bool_())], names=["features", "cut", "real"])
 
 
 def _judge(weights, prior: float):
@@ -291,54 +310,45 @@ def _judge(weights, prior: float):
         for batch in batches:
             z = []
             for text, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                bare, kind = core(text)
-                chance = max(prior, min(0.98, _posterior(text, bare, own)))
-                odds = score(w, text) + math.log(chance / (1 - chance))
-                # A sentence that is complete up to its closing mark wasn't broken, whatever the length.
-                if kind in ("", "space") and _finished(bare) and not _left_open(bare):
-                    odds = min(odds, -1.0)
-                z.append(odds)
+                chance = max(prior, min(0.98, _posterior(text, core(text)[0], own)))
+                z.append(score(w, text) + math.log(chance / (1 - chance)))
             odds_ = np.array(z, dtype=float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(odds_), pa.array(odds_ > 0)], names=["key", "source", "log_odds", "cut"])
 
     return run
 
 
-def _finished(bare: str) -> bool:
-    """Whether it ends in a sentence's mark, or in quotes and brackets closed behind one. A dot behind a digit may be a decimal point."""
-    inner = bare.rstrip(CLOSERS)
-    return inner[-1:] in FINAL and not re.search(r"\d\.$", inner)
+def drawn(rows: DataFrame, sample: int) -> DataFrame:
+    """``h``, ``source``, ``text`` of at most ``sample`` of the ``rows`` (``key``, ``source``, ``text``): those of least hash of key and text.
 
-
-def _left_open(bare: str) -> bool:
-    last = bare.rsplit("\n", 1)[-1]
-    return any(last.count(a) > last.count(b) for a, b in ("“”", "（）", "()", "[]", "{}", "【】", "《》")) or bare.count("```") % 2 == 1 or last.count("**") % 2 == 1
+    A repeated row counts once. Only hashes are ordered, and of these only half as many again as needed, wherever they lie; the texts stay where they are.
+    """
+    part = min(1.0, 1.5 * sample / max(1, rows.count()))
+    hashed = rows.withColumn("h", F.xxhash64("key", "text")).filter(F.col("h") <= min(2**63 - 1, int(-(2**63) + part * 2**64)))
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    return hashed.filter(F.col("h") <= last if last is not None else F.lit(False)).groupBy("h").agg(F.first("source").alias("source"), F.first("text").alias("text"))
 
 
 def detect(docs: DataFrame, key: str = "row_id", text: str = "text", source: str = "source", sample: int = SAMPLE, prior: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """One row for each text that isn't blank (``key``, ``source``, ``log_odds``, ``cut``), and the limits found.
 
     Null and blank texts give no rows; a null source is a source of its own; repeated rows give repeated rows. The model
-    of endings is fitted on at most ``sample`` rows, drawn by a hash of key and text; everything else uses all. ``prior`` is the
+    of endings is fitted on at most ``sample`` rows, drawn by a hash of key and text, whose features alone come to the driver; everything else uses all. ``prior`` is the
     share of cut texts away from any limit. An empty table gives empty results.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).filter(F.col("text").rlike(r"\S"))
-    measured = rows.mapInArrow(_measure, f"key {kind}, source string, chars int, core_chars int, core_bytes int")
-    found = stage(limits(measured), "limits")
-    own = found.groupBy("source").agg(F.collect_list(F.struct("measure", "length_limit", "posterior")).alias("limits"))  # as many as are significant
-    judged = rows.join(own.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("key", "source", "text", "limits")
-
-    # Half as many again as needed pass the hash, wherever they lie, so that each partition sends its part of the sample only.
-    part = min(1.0, 1.5 * sample / max(1, docs.count()))
-    hashed = rows.withColumn("h", F.xxhash64("key", "text")).filter(F.col("h") <= min(2**63 - 1, int(-(2**63) + part * 2**64)))
-    drawn = hashed.orderBy("h", "key", "text").limit(sample).select("source", "text").toPandas()
-    by_source: dict[str | None, list[dict]] = {}
-    for r in found.collect():  # as many as are significant
-        by_source.setdefault(r["source"], []).append(r.asDict())
-    weights = fit(drawn["text"].tolist(), [_posterior(t, core(t)[0], by_source.get(s)) > 0 for s, t in zip(drawn["source"], drawn["text"])])
-    return judged.mapInArrow(_judge(spark.sparkContext.broadcast(weights), prior), f"key {kind}, source string, log_odds double, cut boolean").withColumnRenamed("key", key), found
+    measured = stage(rows.select("source", "text").mapInArrow(_measure, "source string, " + ", ".join(f"{m} int" for m in MEASURES)), "measured")
+    found = limits(measured)
+    own = found.groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct("measure", "length_limit", "posterior")).alias("limits"))  # as many as are significant
+    with_limits = lambda d: d.join(own, F.col("source").eqNullSafe(F.col("s")), "left")
+
+    taught = with_limits(drawn(rows, sample)).select("h", "text", "limits").mapInArrow(_teach, "features array<int>, cut double, real boolean").toArrow()  # 9 rows of some 30 numbers for each text of the sample
+    weights = fit(taught["features"].to_pylist(), taught["cut"].to_numpy(), taught["real"].to_numpy())
+    release(measured)
+    judged = with_limits(rows).select("key", "source", "text", "limits").mapInArrow(_judge(spark.sparkContext.broadcast(weights), prior), f"key {kind}, source string, log_odds double, cut boolean")
+    return judged.withColumnRenamed("key", key), found
 
 
 def report(docs: DataFrame, **how) -> DataFrame:

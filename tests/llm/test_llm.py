@@ -442,25 +442,36 @@ def test_limits_are_found_in_characters_and_bytes():
     cut = np.where((rng.random(4000) < 0.8) & (lengths > 500), 500, lengths)
     values, counts = np.unique(cut, return_counts=True)
     found = cutoff.find_limits(values, counts, 1)
-    assert [f[0] for f in found] == [500] and found[0][2] > 0.95
+    assert [f[0] for f in found] == [500] and found[0][2] < 0.05 * found[0][1]
     values, counts = np.unique(lengths, return_counts=True)
     assert cutoff.find_limits(values, counts, 1) == []
     mu, sigma = cutoff.censored_fit(np.log(np.maximum(cut, 1)), np.ones(4000), cut == 500)
     assert abs(mu - 6) < 0.15 and abs(sigma - 0.6) < 0.15
 
 
-def test_copies_of_a_text_are_sampled_one_by_one(spark, monkeypatch):
-    rng, drawn = random.Random(8), []
-    monkeypatch.setattr(cutoff, "fit", lambda texts, at_limit, fit=cutoff.fit: drawn.extend(texts) or fit(texts, at_limit))
+def test_copies_of_a_text_are_sampled_one_by_one(spark):
+    rng = random.Random(8)
     copy = sentence(rng) * 3
-    df = spark.createDataFrame([(i, copy if i % 3 == 0 else sentence(rng) + sentence(rng), "s") for i in range(1500)], "row_id long, text string, source string")
-    cutoff.detect(df, sample=300)
-    assert 60 < drawn.count(copy) < 140
+    rows = [(i, "s", copy if i % 3 == 0 else sentence(rng) + sentence(rng)) for i in range(1500)] + [(0, "s", copy)] * 500
+    got = cutoff.drawn(spark.createDataFrame(rows, "key long, source string, text string"), 300).collect()
+    assert 60 < sum(r["text"] == copy for r in got) < 140 and len(got) == 300
+    assert cutoff.drawn(spark.createDataFrame(rows[:0], "key long, source string, text string"), 300).count() == 0
+
+
+def test_what_is_appended_makes_no_limits_of_its_own(spark):
+    rng, rows = random.Random(21), []
+    for i in range(1500):
+        t = "".join(sentence(rng) for _ in range(rng.randrange(4, 30)))
+        mark = rng.choice(["", "…", "...", "[更多]", "……阅读全文"])
+        rows.append((i, t[:300] + mark if len(t) > 300 else t, "s"))
+        rows.append((i, t[: 300 - len(mark)] + mark if len(t) > 300 else t, "within"))
+    found = cutoff.detect(spark.createDataFrame(rows, "row_id long, text string, source string"))[1].collect()
+    assert sorted((r["source"], r["measure"], r["length_limit"]) for r in found) == [("s", "core_chars", 300), ("within", "chars", 300)]
 
 
-def test_only_sentence_marks_finish_a_text():
-    assert all(map(cutoff._finished, ("他来了。", "他说：“好！”", "Done.", "（完。）", "really?\"")))
-    assert not any(map(cutoff._finished, ("根据《合同法》", "共3.", "先洗手；", "it;", "他的“主意”", "don'", "", "》")))
+def test_real_cuts_teach_the_model_by_their_posterior():
+    rows = cutoff.examples("一段在限制处断开的文字没有结", 0.9, 1)
+    assert rows[0][1:] == (0.9, False) and cutoff.examples("完整。", 0.0, 1)[0][1:] == (0.0, True)
 
 
 def test_all_limits_of_a_source_are_found():
@@ -490,7 +501,7 @@ def test_cut_texts_held_out(spark):
     judged, found = cutoff.detect(df)
     got = {r["row_id"] for r in judged.filter("cut").collect()}
     assert len(got & truth) >= 0.95 * len(truth) and len(got - truth) <= 0.02 * len(got)
-    assert ("a", "chars", 300) in {(r["source"], r["measure"], r["length_limit"]) for r in found.collect()}
+    assert ("a", "core_chars", 300) in {(r["source"], r["measure"], r["length_limit"]) for r in found.collect()}
     shares = {r["source"]: r for r in cutoff.report(df).collect()}
     assert shares[None]["n_texts"] == 1 and shares[None]["n_cut"] == 0
 
