@@ -8,12 +8,15 @@ substrings equal segments. Segments may stand at any position that the lengths a
 moved sentences don't make a record another one; the shift of each match is its diagonal. Along the
 diagonals, a banded dynamic program aligns both contents. Candidates whose aligned parts cover enough are verified exactly.
 
-The training substrings are not all shuffled: a Bloom filter of the kept segments, of fixed size, is built by a
-distributed OR and sifts them where they are read.
+The training substrings are not all shuffled: a Bloom filter of the kept segments, sized by their number, is built by a
+distributed OR and sifts them where they are read. One filter has 32 MB at most; more segments are joined in several passes, each with its part of
+them and a filter of its own. A segment that very many texts share makes a large partition of one join key, which adaptive
+execution splits; a pair's matches are aggregated where they are made before anything is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import content as C
-from scriptorium.session import stage
+from scriptorium.session import release, stage
 
 AGREE = 0.1  # part of its runs that a candidate must share among those kept
-BLOOM_BITS = 1 << 26  # 8 MB, whatever the size of the data
+BITS_EACH = 16  # bits of the filter for each segment: one in sixteen other substrings passes
+BLOOM_MOST = 1 << 28  # bits of one filter at most, 32 MB
 BLOOM_PIECE = 1 << 16
 BAND = 4
+BLOCK = 2048  # characters of a text that are aligned in one go
+DIAGONALS = 64  # pairs with matches on more diagonals aren't aligned along each, but go straight to the exact check
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,55 +48,80 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "r", "segment", "at"])
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(bits: int):
     """Segments -> the pieces of the partition's Bloom filter that have a bit set."""
-    seen = np.zeros(BLOOM_BITS, dtype=bool)
-    for batch in batches:
-        seen[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BLOOM_BITS)] = True
-    pieces = seen.reshape(-1, BLOOM_PIECE)
-    filled = np.flatnonzero(pieces.any(axis=1))
-    for k in filled:
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(pieces[k]).tobytes()], pa.binary())], names=["piece", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)).astype(np.int64)
+            for part in np.split(at, np.flatnonzero(np.diff(at // BLOOM_PIECE)) + 1) if len(at) else ():
+                held = np.zeros(BLOOM_PIECE, dtype=bool)
+                held[part % BLOOM_PIECE] = True
+                k = int(part[0] // BLOOM_PIECE)
+                pieces[k] = pieces.get(k, 0) | np.packbits(held)
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([p.tobytes() for p in pieces.values()], pa.binary())], names=["piece", "bits"])
+
+    return run
 
 
-def _bloom(segments: DataFrame) -> np.ndarray:
-    """The Bloom filter of column ``segment``; what comes to the driver has BLOOM_BITS bits at most."""
+def _bloom(segments: DataFrame, bits: int) -> np.ndarray:
+    """The Bloom filter of column ``segment``; what comes to the driver has ``bits`` bits at most."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        bits = np.zeros(BLOOM_PIECE // 8, dtype=np.uint8)
+        held = np.zeros(BLOOM_PIECE // 8, dtype=np.uint8)
         for b in table.column("bits").to_pylist():
-            bits |= np.frombuffer(b, dtype=np.uint8)
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+            held |= np.frombuffer(b, dtype=np.uint8)
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([held.tobytes()], pa.binary())})
 
-    merged = segments.select("segment").mapInArrow(_bits, "piece int, bits binary").groupBy("piece").applyInArrow(merge, "piece int, bits binary")
-    bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
+    merged = segments.select("segment").mapInArrow(_bits(bits), "piece int, bits binary").groupBy("piece").applyInArrow(merge, "piece int, bits binary")
+    out = np.zeros(bits // 8, dtype=np.uint8)
     for row in merged.toLocalIterator():
-        bits[row.piece * BLOOM_PIECE // 8 : (row.piece + 1) * BLOOM_PIECE // 8] = np.frombuffer(row.bits, dtype=np.uint8)
-    return bits
+        out[row.piece * BLOOM_PIECE // 8 : (row.piece + 1) * BLOOM_PIECE // 8] = np.frombuffer(row.bits, dtype=np.uint8)
+    return out
 
 
-def _substrings(bloom):
-    """cls, content -> the substrings (cls, r, segment, at) that may be a segment."""
+def _substrings(bloom, bits: int):
+    """cls, content -> the distinct substrings (cls, r, segment, at) that may be a segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
+        held = bloom.value
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[tuple[np.ndarray, ...]] = []
             for i, t in zip(ids, texts):
-                key = C.windows(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), C.RUN)
-                bit = key % np.uint64(BLOOM_BITS)
-                hit = np.flatnonzero(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+                key, at = np.unique(C.windows(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), C.RUN), return_index=True)
+                bit = key % np.uint64(bits)
+                hit = np.flatnonzero(held[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
                 if len(hit):
-                    out.append((np.full(len(hit), i, np.int64), np.full(len(hit), len(np.unique(key)), np.int32), key[hit].view(np.int64), hit.astype(np.int32)))
+                    out.append((np.full(len(hit), i, np.int64), np.full(len(hit), len(key), np.int32), key[hit].view(np.int64), at[hit].astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "r", "segment", "at"])
 
     return run
 
 
+def _blocks(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], list[int]]:
+    """Pairs cut into stretches of BLOCK characters, and which pair each is of."""
+    out, of = [], []
+    for k, (x, y, d) in enumerate(pairs):
+        first = max(0, -d - BAND) // BLOCK * BLOCK  # before, the diagonal hasn't reached y
+        for i in range(first, min(len(x), max(1, len(y) - d + BAND)), BLOCK):
+            lo = max(0, i + d - BAND)
+            out.append((x[i : i + BLOCK], y[lo : max(lo, i + d + BLOCK + BAND)], i + d - lo))
+            of.append(k)
+    return out, of
+
+
 def aligned(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
-    """Best local alignment score of each (a, b, diagonal) within BAND of its diagonal: +1 a match, -1 an edit."""
+    """Local alignment score of each (a, b, diagonal) within BAND of its diagonal: +1 a match, -1 an edit.
+
+    Texts are aligned in stretches of BLOCK characters whose best scores are added up: never less than the best of
+    the whole, and memory depends on no text's length.
+    """
+    total = np.zeros(len(pairs), dtype=np.int32)
+    pairs, of = _blocks(pairs)
     scores = np.zeros(len(pairs), dtype=np.int32)
     order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][0]))
     offsets = np.arange(2 * BAND + 1, dtype=np.int32)
@@ -119,7 +150,8 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
             h = step
             np.maximum(best, h.max(axis=0), out=best)
         scores[jobs] = best
-    return scores
+    np.add.at(total, np.array(of, dtype=np.int64), scores)
+    return total
 
 
 def _covered(cover: float):
@@ -128,17 +160,21 @@ def _covered(cover: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             jobs, owner = [], []
-            sizes = np.empty(batch.num_rows)
+            sizes, total = np.empty(batch.num_rows), np.zeros(batch.num_rows)
             for k, (diagonals, s, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
                 x, y = (np.frombuffer(u.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for u in (s, t))
                 sizes[k] = min(len(x), len(y))
-                last = None
+                apart = []
                 for d in sorted(diagonals):
-                    if last is None or d - last > BAND:  # matches within the band are one alignment
-                        jobs.append((x, y, d))
-                        owner.append(k)
-                        last = d
-            total = np.bincount(np.array(owner, dtype=np.int64), weights=aligned(jobs), minlength=batch.num_rows) if jobs else np.zeros(batch.num_rows)
+                    if not apart or d - apart[-1] > BAND:  # matches within the band are one alignment
+                        apart.append(d)
+                if len(apart) > DIAGONALS:
+                    total[k] = sizes[k]
+                else:
+                    jobs += [(x, y, d) for d in apart]
+                    owner += [k] * len(apart)
+            if jobs:
+                np.add.at(total, np.array(owner, dtype=np.int64), aligned(jobs))
             keep = pa.array(total >= cover * sizes)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 1, 3, 4)], names=["a", "b", "text_a", "text_b"])
 
@@ -154,10 +190,11 @@ def links(train: DataFrame, evaluation: DataFrame, threshold: float = 0.6, cover
     sides = []
     for name, rows in (("train", train), ("evaluation", evaluation)):
         texts = rows.select(F.col("id").cast("bigint").alias("id"), C.content("text").alias("content")).filter(f"id is not null and length(content) >= {C.RUN}")
-        hashed = stage(texts.select("id", F.unhex(F.md5("content")).alias("hash")), f"{name}-hashes")
-        members = stage(C.classes(hashed), f"{name}-members")
+        texts = stage(texts.withColumn("hash", F.unhex(F.md5("content"))), f"{name}-texts")
+        members = stage(C.classes(texts), f"{name}-members")
         heads = members.filter("id = cls").select("id")
-        sides.append((stage(texts.join(heads, "id", "left_semi").dropDuplicates(["id"]), f"{name}-contents"), members))
+        sides.append((stage(texts.select("id", "content").join(heads, "id", "left_semi").dropDuplicates(["id"]), f"{name}-contents"), members))
+        release(texts)
     (train_texts, train_members), (eval_texts, eval_members) = sides
 
     cut = stage(eval_texts.select("id", "content").mapInArrow(_segments, "cls bigint, r int, segment bigint, at int"), "segments")
@@ -168,23 +205,34 @@ def links(train: DataFrame, evaluation: DataFrame, threshold: float = 0.6, cover
     lacking = F.col("r") - F.ceil(F.col("r") * threshold - 1e-9)
     kept = cut.join(common, "segment").withColumn("place", F.row_number().over(rarest)).withColumn("least", least.cast("int")).filter(F.col("place") <= lacking + F.col("least"))
     kept = stage(kept.select("cls", "r", "least", "segment", "at"), "kept")
-
-    bloom = train.sparkSession.sparkContext.broadcast(_bloom(kept))
-    hits = train_texts.select("id", "content").mapInArrow(_substrings(bloom), "cls bigint, r int, segment bigint, at int")
-    right = hits.select(F.col("cls").alias("b"), F.col("r").alias("r_b"), "segment", F.col("at").alias("at_b"))
-    met = kept.select(F.col("cls").alias("a"), F.col("r").alias("r_a"), "least", "segment", F.col("at").alias("at_a")).join(right, "segment")
+    release(cut)
+
+    n = max(1, kept.agg(F.approx_count_distinct("segment")).first()[0])
+    passes = -(-n * BITS_EACH // BLOOM_MOST)
+    bits = max(BLOOM_PIECE, min(BLOOM_MOST, 1 << (n * BITS_EACH // passes).bit_length()))
+    parts = []
+    for k in range(passes):
+        part = kept.filter(F.pmod(F.xxhash64("segment"), F.lit(passes)) == k)
+        bloom = train.sparkSession.sparkContext.broadcast(_bloom(part, bits))
+        right = train_texts.select("id", "content").mapInArrow(_substrings(bloom, bits), "cls bigint, r int, segment bigint, at int").select(F.col("cls").alias("b"), F.col("r").alias("r_b"), "segment", F.col("at").alias("at_b"))
+        parts.append(part.select(F.col("cls").alias("a"), F.col("r").alias("r_a"), "least", "segment", F.col("at").alias("at_a")).join(right, "segment"))
+    met = functools.reduce(DataFrame.unionByName, parts)
     # With moved parts every position is allowed, as long as the fewer runs can be enough of the more.
     met = met.filter((F.col("r_a") >= F.col("r_b") * threshold) & (F.col("r_b") >= F.col("r_a") * threshold))
     met = met.groupBy("a", "b", "least").agg(F.collect_set(F.col("at_b") - F.col("at_a")).alias("diagonals"), F.size(F.collect_set("at_a")).alias("agreeing"))
     met = met.filter("agreeing >= least").drop("least", "agreeing")
     met = stage(met, "met")
+    release(kept)
+    gone = [met]
     for side in ("a", "b"):
         texts = eval_texts if side == "a" else train_texts
         ids = met.select(F.col(side).alias("id")).distinct()
         texts = C.only(texts, ids).select(F.col("id").alias(side), F.col("content").alias(f"text_{side}"))
         met = met.join(texts, side)
     pairs = met.select("a", "b", "diagonals", "text_a", "text_b").mapInArrow(_covered(cover), "a bigint, b bigint, text_a string, text_b string")
-    return stage(C.verify(pairs, threshold), "overlaps"), train_members, eval_members
+    near = stage(C.verify(pairs, threshold), "overlaps")
+    release(*gone, train_texts, eval_texts)
+    return near, train_members, eval_members
 
 
 def found(train: DataFrame, evaluation: DataFrame, **how: float) -> DataFrame:

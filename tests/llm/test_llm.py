@@ -192,6 +192,31 @@ def test_alignment_scores():
     assert overlap.aligned([(x, x, 0), (x, y, 10), (x, y + 1000, 0)]).tolist() == [50, 49, 0]
 
 
+def test_alignment_of_long_texts_goes_by_stretches():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3000, 50_000).astype(np.uint32)
+    moved = np.concatenate([np.full(7000, 99_999, np.uint32), x])
+    assert overlap.aligned([(x, x, 0), (x, moved, 7000), (moved, x, -7000), (x, moved, 20_000), (x[:0], x, 0)]).tolist()[:3] == [50_000] * 3
+    assert overlap.aligned([(x, x[:5], 0), (x[:5], x, 0), (x[:5], x[100:], 3)]).tolist()[:2] == [5, 5]
+
+
+def test_a_phrase_shared_by_all_texts_and_several_passes(spark, monkeypatch):
+    rng, shared = random.Random(31), words(random.Random(32), 40)
+    texts = [shared + words(rng, 120) for _ in range(300)]
+    train, evaluation = texts[:200] + [shared * 30], texts[190:] + [shared * 25]
+    want = {(i + 1, j + 1001) for i, a in enumerate(train) for j, b in enumerate(evaluation) if same(a, b)}
+    monkeypatch.setattr(overlap, "BLOOM_MOST", overlap.BLOOM_PIECE)  # some 14,000 segments of 16 bits each: four passes
+    got = {(r["train_id"], r["eval_id"]) for r in overlap.found(frame(spark, train), frame(spark, evaluation, 1001)).collect()}
+    assert got == want and len(want) == 11
+
+
+def test_many_diagonals_go_to_the_exact_check(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "DIAGONALS", 0)
+    texts = collection(3, 30)
+    want = {(i + 1, j + 1001) for i, a in enumerate(texts) for j, b in enumerate(texts) if same(a, b)}
+    assert {(r["train_id"], r["eval_id"]) for r in overlap.found(frame(spark, texts), frame(spark, texts, 1001)).collect()} == want
+
+
 # --- encoding
 
 
