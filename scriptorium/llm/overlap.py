@@ -1,103 +1,129 @@
 """Same or nearly same records across splits, by an edit-distance segment join.
 
-The segments are the runs of five characters by which the content (letters and digits) is compared. Of an evaluation text's
-r distinct runs a case lacks at most r (1 - threshold), so of that many and m more, m are shared for certain, wherever the
-edits are; those that are rarest among all evaluation
-texts are kept, which spares the join the phrases that every text shares. A training text is a candidate where m of its
-substrings equal segments. Segments may stand at any position that the lengths allow, because
+The segments are the runs of five characters by which the content (letters and digits) is compared. All runs have one order: first those that one
+side doesn't have, then the rarer before the more frequent. Of two texts with c runs in common, m of these are among the first r - c + m of either
+text's r runs, wherever the edits are; a case has at least the threshold's part of the longer text's runs in common, and three quarters (at 0.6) of the
+shorter one's. So each text gives only its first runs, a training text is a candidate where m of its substrings equal segments, and no case fails that.
+Segments may stand at any position that the lengths allow, because
 moved sentences don't make a record another one; the shift of each match is its diagonal. Along the
 diagonals, a banded dynamic program aligns both contents. Candidates whose aligned parts cover enough are verified exactly.
 
-The training substrings are not all shuffled: a Bloom filter of the kept segments, sized by their number, is built by a
-distributed OR and sifts them where they are read. One filter has 32 MB at most; more segments are joined in several passes, each with its part of
-them and a filter of its own. A segment that very many texts share makes a large partition of one join key, which adaptive
+How frequent runs are is read from two sketches of counts by hash, sized by the evaluation side and bounded (32 MB each); what they confuse changes the order, which is the
+same for both sides all the same, and so only how many chance matches there are. A segment that very many texts share makes a large partition of one join key, which adaptive
 execution splits; a pair's matches are aggregated where they are made before anything is shuffled.
 """
 
 from __future__ import annotations
 
-import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import content as C
 from scriptorium.session import release, stage
 
-AGREE = 0.1  # part of its runs that a candidate must share among those kept
-BITS_EACH = 16  # bits of the filter for each segment: one in sixteen other substrings passes
-BLOOM_MOST = 1 << 28  # bits of one filter at most, 32 MB
-BLOOM_PIECE = 1 << 16
+AGREE = 0.05  # part of its runs that a candidate must share among the first ones
+BUCKETS_MOST = 1 << 25  # counts of one sketch at most, a byte each
+PIECE = 1 << 16
 BAND = 4
 BLOCK = 2048  # characters of a text that are aligned in one go
 DIAGONALS = 64  # pairs with matches on more diagonals aren't aligned along each, but go straight to the exact check
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cls, content -> cls, r (distinct runs), segment (hash of a distinct run), at (its first position)."""
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        out: list[tuple[np.ndarray, ...]] = []
-        for i, t in zip(ids, texts):
-            h, at = np.unique(C.windows(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), C.RUN), return_index=True)
-            out.append((np.full(len(at), i, np.int64), np.full(len(at), len(h), np.int32), h.view(np.int64), at.astype(np.int32)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "r", "segment", "at"])
+def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs at all positions of all texts, one after the other, and where each text's begin (n + 1 offsets)."""
+    data, at = C.codes(texts)
+    h = C.windows(data, C.RUN)
+    inside = np.ones(len(h), dtype=bool)
+    for k in range(1, C.RUN):
+        over = at[1:-1] - k
+        inside[over[(over >= 0) & (over < len(h))]] = False
+    return h[inside], np.concatenate([[0], np.cumsum(np.diff(at) - C.RUN + 1)])
 
 
-def _bits(bits: int):
-    """Segments -> the pieces of the partition's Bloom filter that have a bit set."""
+def _tally(buckets: int, other):
+    """content -> how often the partition has runs of each bucket (up to 255), in pieces; only buckets that the ``other`` sketch has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)).astype(np.int64)
-            for part in np.split(at, np.flatnonzero(np.diff(at // BLOOM_PIECE)) + 1) if len(at) else ():
-                held = np.zeros(BLOOM_PIECE, dtype=bool)
-                held[part % BLOOM_PIECE] = True
-                k = int(part[0] // BLOOM_PIECE)
-                pieces[k] = pieces.get(k, 0) | np.packbits(held)
+            if not batch.num_rows:
+                continue
+            bucket = (_runs(batch.column(0).to_pylist())[0] & np.uint64(buckets - 1)).astype(np.int64)
+            if other is not None:
+                bucket = bucket[other.value[bucket] > 0]
+            at, n = np.unique(bucket, return_counts=True)
+            edges = np.flatnonzero(np.diff(at // PIECE)) + 1
+            for part, many in zip(np.split(at, edges), np.split(n, edges)) if len(at) else ():
+                held = pieces.setdefault(int(part[0] // PIECE), np.zeros(PIECE, dtype=np.uint8))
+                held[part % PIECE] = np.minimum(255, held[part % PIECE] + many)
         if pieces:
-            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([p.tobytes() for p in pieces.values()], pa.binary())], names=["piece", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([p.tobytes() for p in pieces.values()], pa.binary())], names=["piece", "counts"])
 
     return run
 
 
-def _bloom(segments: DataFrame, bits: int) -> np.ndarray:
-    """The Bloom filter of column ``segment``; what comes to the driver has ``bits`` bits at most."""
+def _sketch(texts: DataFrame, buckets: int, other=None) -> np.ndarray:
+    """By bucket 0 where ``texts`` (``content``) have no run, else 1 and the count's magnitude in eighths of a doubling; ``buckets`` bytes come to the driver at most."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        held = np.zeros(BLOOM_PIECE // 8, dtype=np.uint8)
-        for b in table.column("bits").to_pylist():
-            held |= np.frombuffer(b, dtype=np.uint8)
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([held.tobytes()], pa.binary())})
-
-    merged = segments.select("segment").mapInArrow(_bits(bits), "piece int, bits binary").groupBy("piece").applyInArrow(merge, "piece int, bits binary")
-    out = np.zeros(bits // 8, dtype=np.uint8)
+        total = np.zeros(PIECE, dtype=np.int64)
+        for b in table.column("counts").to_pylist():
+            total += np.frombuffer(b, dtype=np.uint8)
+        level = np.where(total > 0, 1 + np.minimum(254, 8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
+
+    merged = texts.select("content").mapInArrow(_tally(buckets, other), "piece int, counts binary").groupBy("piece").applyInArrow(merge, "piece int, level binary")
+    out = np.zeros(buckets, dtype=np.uint8)
     for row in merged.toLocalIterator():
-        out[row.piece * BLOOM_PIECE // 8 : (row.piece + 1) * BLOOM_PIECE // 8] = np.frombuffer(row.bits, dtype=np.uint8)
+        out[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.level, dtype=np.uint8)
     return out
 
 
-def _substrings(bloom, bits: int):
-    """cls, content -> the distinct substrings (cls, r, segment, at) that may be a segment."""
+def _first(r: int, part: float) -> int:
+    """How many of a text's r runs come first if a case has at least that part of them in common, and m of these are to be among the first."""
+    return r - math.ceil(part * r - 1e-9) + _agreeing(r)
+
+
+def _agreeing(r: int) -> int:
+    return max(1, int(r * AGREE))
+
+
+def _segments(mine, others, threshold: float):
+    """cls, content -> the segments: cls, r (distinct runs), segment (hash of a run), at (its first position), near (comes first even if this is the shorter text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bloom.value
+        a, b = mine.value, others.value
+        mask = np.uint64(len(a) - 1)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_pylist()
+            h, begins = _runs(batch.column(1).to_pylist())
             out: list[tuple[np.ndarray, ...]] = []
-            for i, t in zip(ids, texts):
-                key, at = np.unique(C.windows(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), C.RUN), return_index=True)
-                bit = key % np.uint64(bits)
-                hit = np.flatnonzero(held[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
-                if len(hit):
-                    out.append((np.full(len(hit), i, np.int64), np.full(len(hit), len(key), np.int32), key[hit].view(np.int64), at[hit].astype(np.int32)))
+            for i, begin, end in zip(ids, begins[:-1].tolist(), begins[1:].tolist()):
+                own = np.unique(h[begin:end])
+                bucket = (own & mask).astype(np.int64)
+                x, y = a[bucket], b[bucket]
+                shared = np.flatnonzero((x > 0) & (y > 0))
+                r, alone = len(own), len(own) - len(shared)
+                most = _first(r, threshold) - alone
+                if most <= 0:
+                    continue
+                order = np.lexsort((own[shared], x[shared].astype(np.int16) + y[shared]))[:most]
+                kept = own[shared[order]]
+                n = len(kept)
+                every = h[begin:end]
+                sort = np.argsort(every, kind="stable")
+                at = sort[np.searchsorted(every[sort], kept)]
+                near = np.arange(n) < _first(r, 2 * threshold / (1 + threshold)) - alone
+                out.append((np.full(n, i, np.int64), np.full(n, r, np.int32), kept.view(np.int64), at.astype(np.int32), near))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "r", "segment", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "r", "segment", "at", "near"])
 
     return run
 
@@ -197,32 +223,21 @@ def links(train: DataFrame, evaluation: DataFrame, threshold: float = 0.6, cover
         release(texts)
     (train_texts, train_members), (eval_texts, eval_members) = sides
 
-    cut = stage(eval_texts.select("id", "content").mapInArrow(_segments, "cls bigint, r int, segment bigint, at int"), "segments")
-    common = cut.groupBy("segment").agg(F.count("*").alias("seen"))
-    rarest = Window.partitionBy("cls").orderBy("seen", F.xxhash64("segment"), "segment")
-    # A case shares at least the threshold's part of these runs, so it lacks no more than the rest: of that many and ``least`` more, ``least`` are shared.
-    least = F.ceil(F.col("r") * F.lit(min(AGREE, threshold)) - 1e-9)
-    lacking = F.col("r") - F.ceil(F.col("r") * threshold - 1e-9)
-    kept = cut.join(common, "segment").withColumn("place", F.row_number().over(rarest)).withColumn("least", least.cast("int")).filter(F.col("place") <= lacking + F.col("least"))
-    kept = stage(kept.select("cls", "r", "least", "segment", "at"), "kept")
-    release(cut)
-
-    n = max(1, kept.agg(F.approx_count_distinct("segment")).first()[0])
-    passes = -(-n * BITS_EACH // BLOOM_MOST)
-    bits = max(BLOOM_PIECE, min(BLOOM_MOST, 1 << (n * BITS_EACH // passes).bit_length()))
-    parts = []
-    for k in range(passes):
-        part = kept.filter(F.pmod(F.xxhash64("segment"), F.lit(passes)) == k)
-        bloom = train.sparkSession.sparkContext.broadcast(_bloom(part, bits))
-        right = train_texts.select("id", "content").mapInArrow(_substrings(bloom, bits), "cls bigint, r int, segment bigint, at int").select(F.col("cls").alias("b"), F.col("r").alias("r_b"), "segment", F.col("at").alias("at_b"))
-        parts.append(part.select(F.col("cls").alias("a"), F.col("r").alias("r_a"), "least", "segment", F.col("at").alias("at_a")).join(right, "segment"))
-    met = functools.reduce(DataFrame.unionByName, parts)
+    spark = train.sparkSession
+    size = eval_texts.agg(F.sum(F.length("content"))).first()[0] or 1
+    buckets = max(PIECE, min(BUCKETS_MOST, 1 << (2 * size - 1).bit_length()))
+    eval_sketch = spark.sparkContext.broadcast(_sketch(eval_texts, buckets))
+    train_sketch = spark.sparkContext.broadcast(_sketch(train_texts, buckets, eval_sketch))
+    schema = "cls bigint, r int, segment bigint, at int, near boolean"
+    left = eval_texts.select("id", "content").mapInArrow(_segments(eval_sketch, train_sketch, threshold), schema).toDF("a", "r_a", "segment", "at_a", "near_a")
+    right = train_texts.select("id", "content").mapInArrow(_segments(eval_sketch, train_sketch, threshold), schema).toDF("b", "r_b", "segment", "at_b", "near_b")
     # With moved parts every position is allowed, as long as the fewer runs can be enough of the more.
-    met = met.filter((F.col("r_a") >= F.col("r_b") * threshold) & (F.col("r_b") >= F.col("r_a") * threshold))
-    met = met.groupBy("a", "b", "least").agg(F.collect_set(F.col("at_b") - F.col("at_a")).alias("diagonals"), F.size(F.collect_set("at_a")).alias("agreeing"))
+    met = left.join(right, "segment").filter((F.col("r_a") >= F.col("r_b") * threshold) & (F.col("r_b") >= F.col("r_a") * threshold))
+    met = met.filter(((F.col("r_a") <= F.col("r_b")) & F.col("near_a")) | ((F.col("r_b") <= F.col("r_a")) & F.col("near_b")))
+    least = F.greatest(F.lit(1), F.floor(F.least("r_a", "r_b") * F.lit(AGREE)).cast("int"))
+    met = met.groupBy("a", "b", least.alias("least")).agg(F.collect_set(F.col("at_b") - F.col("at_a")).alias("diagonals"), F.count("*").alias("agreeing"))
     met = met.filter("agreeing >= least").drop("least", "agreeing")
     met = stage(met, "met")
-    release(kept)
     gone = [met]
     for side in ("a", "b"):
         texts = eval_texts if side == "a" else train_texts

@@ -200,12 +200,13 @@ def test_alignment_of_long_texts_goes_by_stretches():
     assert overlap.aligned([(x, x[:5], 0), (x[:5], x, 0), (x[:5], x[100:], 3)]).tolist()[:2] == [5, 5]
 
 
-def test_a_phrase_shared_by_all_texts_and_several_passes(spark, monkeypatch):
+def test_a_phrase_shared_by_all_texts_and_a_crowded_sketch(spark, monkeypatch):
     rng, shared = random.Random(31), words(random.Random(32), 40)
     texts = [shared + words(rng, 120) for _ in range(300)]
     train, evaluation = texts[:200] + [shared * 30], texts[190:] + [shared * 25]
     want = {(i + 1, j + 1001) for i, a in enumerate(train) for j, b in enumerate(evaluation) if same(a, b)}
-    monkeypatch.setattr(overlap, "BLOOM_MOST", overlap.BLOOM_PIECE)  # some 14,000 segments of 16 bits each: four passes
+    monkeypatch.setattr(overlap, "BUCKETS_MOST", overlap.PIECE // 4)
+    monkeypatch.setattr(overlap, "PIECE", overlap.PIECE // 4)
     got = {(r["train_id"], r["eval_id"]) for r in overlap.found(frame(spark, train), frame(spark, evaluation, 1001)).collect()}
     assert got == want and len(want) == 11
 
