@@ -76,11 +76,15 @@ def strip_markup(text: Column) -> Column:
     return strip_space(text)
 
 
-def strip_markup_fixpoint(text: Column, passes: int = 3) -> Column:
-    """Passes until nested prefixes are gone; three remove all that nest no deeper than four."""
-    for _ in range(passes):
-        text = strip_markup(text)
-    return text
+def strip_markup_fixpoint(text: Column) -> Column:
+    """Passes until one changes nothing, however deep prefixes nest. Null stays null.
+
+    A pass that changes a text makes it shorter, so there are at most as many as characters; when one has changed nothing, the rest aren't run.
+    """
+    first = strip_markup(text)
+    start = F.struct(first.alias("t"), (first == text).alias("done"))
+    again = lambda s: F.element_at(F.transform(F.array(strip_markup(s["t"])), lambda n: F.struct(n.alias("t"), (n == s["t"]).alias("done"))), 1)
+    return F.aggregate(F.sequence(F.lit(0), F.length(first)), start, lambda s, _: F.when(s["done"], s).otherwise(again(s)), lambda s: s["t"])
 
 
 def has_markup(text: Column) -> Column:

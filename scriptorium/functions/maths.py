@@ -81,7 +81,7 @@ def bin_of(value: Column, edges: list[float], lowest: bool = False) -> Column:
 
 def bin_label(index: Column, edges: list[float]) -> Column:
     names = [f"{int(a)}-{'inf' if b == float('inf') else int(b)}" for a, b in zip(edges, edges[1:])]
-    return F.element_at(F.array(*map(F.lit, names)), index + 1)
+    return F.get(F.array(*map(F.lit, names)), index)
 
 
 def clamp(value: Column, low: float, high: float) -> Column:

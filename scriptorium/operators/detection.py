@@ -6,6 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import maths, text
+from scriptorium.operators import ranges
+
+
+def gated(queries: DataFrame, rows: DataFrame, id: str, vector: str, least: float = 0.85, block: int = 4096) -> DataFrame:
+    """The most similar other row of each query by cosine (ties go to the lower id), and whether it passes the gate: ``query``, ``match``, ``similarity``, ``kept``.
+
+    The queries are taken in blocks of that many, which bounds what is broadcast; each block is one pass over the rows, and each partition keeps one match a query. Null and
+    zero vectors are similar to none; ids and vectors are not gathered anywhere else.
+    """
+    numbered = ranges.numbered(queries.filter(F.col(vector).isNotNull()).select(F.col(id).alias("query"), F.col(vector).cast("array<double>").alias("q")), "query")
+    n = numbered.agg(F.max("n")).first()[0]
+    best = None
+    for k in range(0 if n is None else n // block + 1):
+        part = numbered.filter((F.col("n") >= k * block) & (F.col("n") < (k + 1) * block)).select("query", "q")  # `block` rows at most
+        pairs = rows.filter(F.col(vector).isNotNull()).select(F.col(id).alias("match"), F.col(vector).cast("array<double>").alias("v")).join(F.broadcast(part), F.col("match") != F.col("query"))
+        s = pairs.select("query", "match", F.round(maths.cosine(F.col("q"), F.col("v")), 5).alias("similarity")).filter("similarity is not null")
+        own = s.groupBy("query").agg(F.max(F.struct("similarity", (-F.col("match")).alias("m"))).alias("b")).select("query", (-F.col("b.m")).alias("match"), F.col("b.similarity").alias("similarity"))
+        best = own if best is None else best.unionByName(own)
+    if best is None:
+        best = queries.sparkSession.createDataFrame([], "query bigint, match bigint, similarity double")
+    return best.withColumn("kept", F.col("similarity") >= least)
 
 
 def decided(rows: DataFrame, prob_ai: str = "prob_ai", boundary: str = "boundary", threshold: int = 80) -> DataFrame:

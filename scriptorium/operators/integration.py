@@ -61,6 +61,12 @@ def looked_up(probe: DataFrame, build: DataFrame, text: str, value: str, order:
     return probe.join(last, (F.md5(probe[text]) == F.col("__h")) & (probe[text] == F.col("__t")), "left").drop("__h", "__t")
 
 
+def merged(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
+    """Each row with what ``others`` (one row a name) have under its name, and ``matched``; unmatched rows stay, with nulls."""
+    known = others.withColumnRenamed(name, "__name")
+    return rows.join(known, F.col(name) == F.col("__name"), "left").withColumn("matched", F.col("__name").isNotNull()).drop("__name")
+
+
 def remaining(rows: DataFrame, taken: DataFrame, id: str) -> DataFrame:
     return rows.join(taken.select(id), id, "left_anti")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import maths
+from scriptorium.operators import ranges
 
 
 def r6(c):
@@ -52,36 +53,33 @@ def bin_variance(bins: DataFrame) -> DataFrame:
 def roc(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
     """A point for each distinct score: everything at or above it is called positive.
 
-    Aggregated by score first; the cumulative sums run over ranges of the score plus the sums of the ranges above, so
-    no task sorts all scores. Scores are probabilities.
+    Aggregated by score first; the cumulative sums run within ranges of about as many scores each, plus the sums of the ranges above, so
+    no task sorts all scores, wherever they pile up.
     """
     by = rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    by = by.withColumn("range", F.floor(F.col("threshold") * 1024).cast("int"))
-    above = Window.partitionBy(F.lit(0)).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = by.groupBy("range").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))  # 1,025 rows at most
-    everything = Window.partitionBy(F.lit(0))
-    sums = sums.select("range", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("bn"), F.sum("sp").over(everything).alias("tp"), F.sum("sn").over(everything).alias("tn"))
-    inside = Window.partitionBy("range").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    j = by.withColumn("cp", F.sum("p").over(inside)).withColumn("cn", F.sum("n").over(inside)).join(F.broadcast(sums), "range")
-    return j.select("threshold", r6(maths.safe(F.col("cp") + F.col("bp"), F.col("tp"))).alias("tpr"), r6(maths.safe(F.col("cn") + F.col("bn"), F.col("tn"))).alias("fpr"))
+    by = ranges.ranged(by, "threshold")
+    j = ranges.joined(by, ranges.offsets(by, [], p=F.col("p"), n=F.col("n")), [])
+    inside = Window.partitionBy("range").orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
+    above = lambda c: F.col(f"all_{c}") - F.col(f"before_{c}") - F.coalesce(F.sum(c).over(inside), F.lit(0))
+    return j.select("threshold", r6(maths.safe(above("p"), F.col("all_p"))).alias("tpr"), r6(maths.safe(above("n"), F.col("all_n"))).alias("fpr"))
 
 
 def auc(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """Area under the curve by the rank sum with average ranks for ties; null for a single class."""
+    """Area under the curve by the rank sum with average ranks for ties; null for a single class. Sorted by ranges, as in ``roc``."""
     by = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    by = by.withColumn("range", F.floor(F.col("s") * 1024).cast("int"))
-    below = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = by.groupBy("range").agg(F.sum("n").alias("sn"))
-    sums = sums.select("range", F.coalesce(F.sum("sn").over(below), F.lit(0)).alias("bn"))
+    by = ranges.ranged(by, "s")
     inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    j = by.withColumn("ln", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(sums), "range")
-    u = F.sum((F.col("p") * (2 * (F.col("ln") + F.col("bn")) + F.col("n"))).cast("decimal(38,0)"))
+    j = ranges.joined(by, ranges.offsets(by, [], n=F.col("n")), []).withColumn("ln", F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("before_n"))
+    u = F.sum((F.col("p") * (2 * F.col("ln") + F.col("n"))).cast("decimal(38,0)"))
     return j.agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), u.alias("u")).select("n_pos", "n_neg", r6(F.try_divide(F.col("u").cast("double"), 2.0 * F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
-def score_stats(rows: DataFrame, score: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+def score_stats(rows: DataFrame, score: str, by: list[str]) -> DataFrame:
+    """Count, range, mean, exact median and deviation of each group; no task holds all values of one."""
     c = F.col(score)
-    return rows.groupBy(*by).agg(F.count(c).alias("n"), r6(F.min(c)).alias("min"), r6(F.max(c)).alias("max"), r6(F.avg(c)).alias("mean"), r6(F.percentile(c, F.lit(0.5))).alias("median"), r6(F.stddev_pop(c)).alias("std"))
+    stats = rows.groupBy(*by).agg(F.count(c).alias("n"), r6(F.min(c)).alias("min"), r6(F.max(c)).alias("max"), r6(F.avg(c)).alias("mean"), r6(F.stddev_pop(c)).alias("std"))
+    middle = ranges.medians(rows, score, by).select(*[F.col(b).alias(f"__{b}") for b in by], r6("median").alias("median"))
+    return stats.join(middle, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by], "left").drop(*[f"__{b}" for b in by])
 
 
 def histogram(rows: DataFrame, value: Column, low: Column | float, high: Column | float, bins: int, by: list[str] = []) -> DataFrame:  # noqa: B006

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
@@ -23,6 +23,21 @@ def gated(rows: DataFrame, text: str = "text", low: int = 50, high: int | None =
     return kept.filter(F.length(text) <= high) if high else kept
 
 
+def generator(rows: DataFrame, category: str, low: int, high: int | None, least: int, quota: int) -> DataFrame:
+    """What a generator of a category keeps of its calls (``id``, ``given``, ``made``, for continuations ``cut``), in order of ``id`` until its quota is full.
+
+    The given text has at least ``low`` and at most ``high`` characters, what was made more than ``least``. With ``cut`` the record is
+    the given text up to there and what was made, with the boundary between; without, it is what was made.
+    """
+    n = F.length("given")
+    gate = (n >= low) & (F.length("made") > least) & (n <= high if high else F.lit(True))
+    head = F.substring(F.col("given"), F.lit(1), F.col("cut")) if "cut" in rows.columns else None
+    whole, boundary = (F.concat(head, F.col("made")), F.length(head)) if head is not None else (F.col("made"), F.lit(None).cast("int"))
+    kept = rows.filter(gate).select("id", whole.alias("text"), boundary.alias("boundary")).orderBy("id").limit(quota)
+    placed = kept.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")))  # the quota at most
+    return placed.select(F.lit(category).alias("category"), "id", content_id(F.col("text")).alias("text_id"), "text", "boundary", "place")
+
+
 def record(category: str, text: Column, label: int, span_label: str, **extra: Column) -> list[Column]:
     return [content_id(text).alias("text_id"), text.alias("text"), F.lit(category).alias("category"), F.lit(label).alias("label"), F.array(_span(F.lit(0), F.length(text), span_label)).alias("spans"), *[c.alias(k) for k, c in extra.items()]]
 

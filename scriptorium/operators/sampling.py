@@ -47,26 +47,26 @@ def equal_strata(rows: DataFrame, id: str, label: str, bin: str, target: int, bi
     return ranked(rows.filter(F.col(bin).isNotNull()), id, [label, bin], seed).filter(F.col("rank") <= cap).drop("rank")
 
 
-def weighted_strata(rows: DataFrame, id: str, length: str, edges: list[float], weights: list[float], target: Column | int, refill: tuple[int, int] = (800, 1800), seed: int | str = 42) -> DataFrame:
-    """A sample whose length bins have the given weights, filled up from a middle range of lengths.
+def weighted_strata(rows: DataFrame, id: str, length: str, edges: list[float], weights: list[float], target: Column | int, by: list[str] = [], refill: tuple[int, int] = (800, 1800), seed: int | str = 42) -> DataFrame:  # noqa: B006
+    """A sample of each group whose length bins have the given weights, filled up from a middle range of lengths.
 
-    Of each bin come min(int(target * weight), its size) rows by hash rank. What is missing comes from the rows not yet taken whose
-    length lies in ``refill``, by hash rank, as far as there are any. ``target`` may be a column of one-valued rows.
+    Of each bin come min(int(target * weight), its size) rows by hash rank. What is missing comes from the group's rows not yet taken whose
+    length lies in ``refill``, by hash rank, as far as there are any. ``target`` may be a column that is the same in all rows of a group.
     """
     from scriptorium.functions.maths import bin_of
 
     goal = target if isinstance(target, Column) else F.lit(target)
-    binned = ranked(rows.withColumn("__bin", bin_of(F.col(length), edges)), id, ["__bin"], seed)
+    binned = ranked(rows.withColumn("__bin", bin_of(F.col(length), edges)), id, [*by, "__bin"], seed)
     cap = F
     for i, w in enumerate(weights):
         cap = cap.when(F.col("__bin") == i, F.floor(goal * w))
     first = F.coalesce(F.col("rank") <= cap.otherwise(0), F.lit(False))
     marked = binned.withColumn("__taken", first).drop("rank")
     marked = marked.withColumn("__pool", F.when(~F.col("__taken") & (F.col(length) >= refill[0]) & (F.col(length) <= refill[1]), 1).otherwise(0))
-    marked = ranked(marked, id, ["__taken", "__pool"], f"{seed}-refill", "__again")
-    taken = marked.agg(F.count_if("__taken").alias("__n_taken"))
-    out = marked.crossJoin(F.broadcast(taken))  # one row
-    return out.filter(F.col("__taken") | ((F.col("__pool") == 1) & (F.col("__again") <= goal - F.col("__n_taken")))).drop("__bin", "__taken", "__pool", "__again", "__n_taken")
+    marked = ranked(marked, id, [*by, "__taken", "__pool"], f"{seed}-refill", "__again")
+    taken = marked.groupBy(*by).agg(F.count_if("__taken").alias("__n_taken")).select(*[F.col(b).alias(f"__{b}") for b in by], "__n_taken")
+    out = marked.join(taken, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]) if by else marked.crossJoin(F.broadcast(taken))  # one row
+    return out.filter(F.col("__taken") | ((F.col("__pool") == 1) & (F.col("__again") <= goal - F.col("__n_taken")))).drop("__bin", "__taken", "__pool", "__again", "__n_taken", *[f"__{b}" for b in by])
 
 
 def balanced(rows: DataFrame, id: str, label: str, seed: int | str = 42) -> DataFrame:

@@ -85,7 +85,7 @@ def latest_delivery(spark, d):
 
 
 _INTEGRATED = f"""WITH {_STD}, {_GOOD}, {_FIRST}, binned AS (SELECT *, {sql_bin('length', EQUAL_EDGES)} AS bin FROM kept),
-r AS (SELECT *, {sql_rank('id', 'label, bin')} AS rank FROM binned), bal AS (SELECT * FROM r WHERE rank <= 100),
+r AS (SELECT *, {sql_rank('id', 'label, bin')} AS rank FROM binned), bal AS (SELECT * FROM r WHERE rank <= 2000),
 s AS (SELECT *, {sql_rank('id', 'label', '42')} AS rk, count(*) OVER (PARTITION BY label) AS n FROM bal),
 fin AS (SELECT id, source, label, length, CASE WHEN rk <= ceil(round(ceil(round(n * 0.3::DOUBLE, 9)) * 0.5::DOUBLE, 9)) THEN 'test' WHEN rk <= ceil(round(n * 0.3::DOUBLE, 9)) THEN 'val' ELSE 'train' END AS split FROM s)"""
 
@@ -94,7 +94,7 @@ def _integrated(spark, d):
     """Load, standardize, filter, de-duplicate, balance by length, split: one lazy plan, the filter below the aggregation."""
     kept = integration.first_by_hash(integration.good(_std(spark, d)).drop("text"), ["priority", "id"])
     binned = kept.withColumn("bin", maths.bin_of(F.col("length"), EQUAL_EDGES))
-    even = sampling.equal_strata(binned, "id", "label", "bin", 1000, 5)
+    even = sampling.equal_strata(binned, "id", "label", "bin", 20_000, 5)
     return sampling.split(even, "id", ["label"], 0.3, 0.5).select("id", "source", "label", "length", "split")
 
 
@@ -124,16 +124,18 @@ def strat_equal(spark, d):
     return sampling.equal_strata(rows, "id", "label", "bin", 400, 5)
 
 
-_CAP = "CASE bin" + "".join(f" WHEN {i} THEN floor(600 * {w}::DOUBLE)" for i, w in enumerate(WEIGHTS)) + " ELSE 0 END"
+_CAP = "CASE bin" + "".join(f" WHEN {i} THEN floor(target * {w}::DOUBLE)" for i, w in enumerate(WEIGHTS)) + " ELSE 0 END"
 
 
-@query(f"""WITH l AS (SELECT row_id AS id, length(text)::INT AS length, {sql_bin('length(text)', WEIGHTED_EDGES)} AS bin FROM full_dataset WHERE text IS NOT NULL),
-r AS (SELECT *, {sql_rank('id', 'bin')} AS rk FROM l), t AS (SELECT *, rk <= {_CAP} AS taken FROM r),
-p AS (SELECT *, {sql_rank('id', 'taken, (NOT taken AND length BETWEEN 800 AND 1800)', '42-refill')} AS again, count(*) FILTER (taken) OVER () AS n FROM t)
-SELECT id, length FROM p WHERE taken OR (length BETWEEN 800 AND 1800 AND again <= 600 - n)""")
+@query(f"""WITH l AS (SELECT row_id AS id, label, length(text)::INT AS length, {sql_bin('length(text)', WEIGHTED_EDGES)} AS bin FROM full_dataset WHERE text IS NOT NULL AND label IS NOT NULL),
+m AS (SELECT min(n) AS target FROM (SELECT count(*) AS n FROM l GROUP BY label)),
+r AS (SELECT *, {sql_rank('id', 'label, bin')} AS rk FROM l, m), t AS (SELECT *, coalesce(rk <= {_CAP}, false) AS taken FROM r),
+p AS (SELECT *, {sql_rank('id', 'label, taken, (NOT taken AND length BETWEEN 800 AND 1800)', '42-refill')} AS again, count(*) FILTER (taken) OVER (PARTITION BY label) AS n FROM t)
+SELECT id, label, length FROM p WHERE taken OR (length BETWEEN 800 AND 1800 AND again <= target - n)""")
 def strat_weighted(spark, d):
-    rows = table(spark, d, "full_dataset").filter("text is not null").select(F.col("row_id").alias("id"), F.length("text").alias("length"))
-    return sampling.weighted_strata(rows, "id", "length", WEIGHTED_EDGES, WEIGHTS, 600)
+    rows = table(spark, d, "full_dataset").filter("text is not null and label is not null").select(F.col("row_id").alias("id"), "label", F.length("text").alias("length"))
+    least = rows.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n").alias("target"))  # one row
+    return sampling.weighted_strata(rows.crossJoin(F.broadcast(least)), "id", "length", WEIGHTED_EDGES, WEIGHTS, F.col("target"), ["label"]).drop("target")
 
 
 @query(f"""WITH c AS (SELECT row_id AS id, label, CASE WHEN label = 1 AND length(text) > 2500 THEN 2500 ELSE length(text) END::INT AS length FROM full_dataset WHERE text IS NOT NULL AND label IS NOT NULL),
@@ -184,9 +186,9 @@ def marker_leak_rate(spark, d):
     return t.groupBy("category").agg(F.count("*").alias("n"), F.count_if("marked").alias("n_marked"), F.round(F.avg(F.col("marked").cast("int")), 6).alias("marker_rate"), F.round(F.avg(F.when(F.col("marked"), F.col("label"))), 6).alias("label_rate_marked"))
 
 
-@query("""SELECT doc_id, category, place FROM (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY collected_at, doc_id)::INT AS place FROM documents) WHERE (category = 'C2' AND place <= 100) OR (category = 'C3' AND place <= 100) OR (category = 'C4' AND place <= 50)""")
+@query("""SELECT doc_id, category, place FROM (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY collected_at, doc_id)::INT AS place FROM documents) WHERE (category = 'C2' AND place <= 1000) OR (category = 'C3' AND place <= 1000) OR (category = 'C4' AND place <= 500)""")
 def quota_fill(spark, d):
-    return sampling.quota(table(spark, d, "documents").select("doc_id", "category", "collected_at"), "category", ["collected_at", "doc_id"], {"C2": 100, "C3": 100, "C4": 50}).select("doc_id", "category", "place")
+    return sampling.quota(table(spark, d, "documents").select("doc_id", "category", "collected_at"), "category", ["collected_at", "doc_id"], {"C2": 1000, "C3": 1000, "C4": 500}).select("doc_id", "category", "place")
 
 
 @query("""WITH b AS (SELECT text, arg_max(boundary, doc_id) FILTER (boundary IS NOT NULL) AS boundary FROM documents WHERE text IS NOT NULL GROUP BY text)
@@ -210,12 +212,11 @@ def completed_update(spark, d):
     return integration.flagged(table(spark, d, "generation_plan").select("plan_id", "generated_parallel"), done, "plan_id", "generated_parallel")
 
 
-@query("SELECT 'matched' AS side, count(*) AS n FROM (SELECT DISTINCT text_id FROM parallel_dataset) t JOIN generation_plan g ON CAST(substr(t.text_id, 10) AS BIGINT) = g.plan_id UNION ALL SELECT 'unmatched', count(*) FROM (SELECT DISTINCT text_id FROM parallel_dataset) t WHERE CAST(substr(t.text_id, 10) AS BIGINT) NOT IN (SELECT plan_id FROM generation_plan)")
+@query("SELECT p.row_id, p.text_id, g.plan_id IS NOT NULL AS matched, g.plan_id, g.topic_domain, g.model_family, p.source_model FROM parallel_dataset p LEFT JOIN generation_plan g ON CAST(substr(p.text_id, 10) AS BIGINT) = g.plan_id")
 def merge_by_name(spark, d):
-    left = table(spark, d, "parallel_dataset").select(F.substring("text_id", 10, 20).cast("bigint").alias("plan_id")).distinct()
-    plan = table(spark, d, "generation_plan").select("plan_id")
-    count = lambda df, side: df.agg(F.lit(side).alias("side"), F.count("*").alias("n"))
-    return count(left.join(plan, "plan_id"), "matched").unionByName(count(left.join(plan, "plan_id", "left_anti"), "unmatched"))
+    rows = table(spark, d, "parallel_dataset").select("row_id", "text_id", "source_model", F.concat(F.lit("parallel_"), F.substring("text_id", 10, 20).cast("bigint")).alias("name"))
+    plan = table(spark, d, "generation_plan").select(F.concat(F.lit("parallel_"), F.col("plan_id")).alias("name"), "plan_id", "topic_domain", "model_family")
+    return integration.merged(rows, plan, "name").select("row_id", "text_id", "matched", "plan_id", "topic_domain", "model_family", "source_model")
 
 
 @query(f"""WITH {CORPUS} SELECT source, count(*) AS count, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(stddev_samp(n), 6) AS std, min(n) AS min, max(n) AS max, round(quantile_cont(n, 0.25), 6) AS q25, round(quantile_cont(n, 0.75), 6) AS q75
@@ -315,17 +316,21 @@ def distinct_values(spark, d):
 
 
 _REBUILT = f"""WITH h AS (SELECT row_id AS id, text, label, source, CAST(NULL AS VARCHAR) AS category FROM full_dataset WHERE text IS NOT NULL UNION ALL SELECT -doc_id, text, label, source, category FROM documents WHERE text IS NOT NULL AND category IN ('C2', 'C3', 'C4')
-UNION ALL SELECT row_id + 1000000000000, text, label, source, 'Human' FROM (SELECT *, {sql_rank('row_id')} AS rk FROM full_dataset WHERE label = 0 AND text IS NOT NULL) WHERE rk <= 300),
+UNION ALL SELECT row_id + 1000000000000, text, label, source, 'Human' FROM (SELECT *, {sql_rank('row_id')} AS rk FROM full_dataset WHERE label = 0 AND text IS NOT NULL) WHERE rk <= 3000),
 r AS (SELECT id, label, category, {sql_rank('id', 'label')} AS rk, count(*) OVER (PARTITION BY label) AS n FROM h), s AS (SELECT id, label, category, {_sql_split('0.2', '0.5')} AS split FROM r)"""
 
 
-@query(_REBUILT + " SELECT split, category, count(*) AS n FROM s GROUP BY split, category")
+@query(_REBUILT + " SELECT id, label, category, split FROM s")
 def hybrid_rebuild(spark, d):
     full = table(spark, d, "full_dataset").filter("text is not null").select(F.col("row_id").alias("id"), "label", F.lit(None).cast("string").alias("category"))
     mixed = table(spark, d, "documents").filter("text is not null and category in ('C2', 'C3', 'C4')").select((-F.col("doc_id")).alias("id"), "label", "category")
-    controls = sampling.sample_n(full.filter("label = 0"), "id", 300).select((F.col("id") + 1000000000000).alias("id"), "label", F.lit("Human").alias("category"))
-    parts = sampling.split(integration.union([full, mixed, controls]), "id", ["label"], 0.2, 0.5)
-    return parts.groupBy("split", "category").agg(F.count("*").alias("n"))
+    controls = sampling.sample_n(full.filter("label = 0"), "id", 3000).select((F.col("id") + 1000000000000).alias("id"), "label", F.lit("Human").alias("category"))
+    return sampling.split(integration.union([full, mixed, controls]), "id", ["label"], 0.2, 0.5)
+
+
+@query(_REBUILT + " SELECT id, label, category FROM s WHERE split = 'test' AND category IS NOT NULL")
+def hybrid_test(spark, d):
+    return hybrid_rebuild(spark, d).filter("split = 'test' and category is not null").drop("split")
 
 
 @query("""WITH t AS (SELECT topic, count(*) AS n FROM generation_plan GROUP BY topic), a AS (SELECT count(*) FILTER (topic IS NOT NULL) AS topics, max(n) FILTER (topic IS NOT NULL) AS top, sum(n) AS total FROM t),
@@ -341,9 +346,18 @@ def coverage_guards(spark, d):
     return j.select(F.round(cover, 6).alias("topic_coverage"), F.round(share, 6).alias("top_topic_share"), F.round("dup", 6).alias("duplicate_rate"), (cover >= 0.95).alias("coverage_ok"), (share <= 0.025).alias("share_ok"), (F.col("dup") < 0.02).alias("duplicates_ok"))
 
 
-@query("""WITH q AS (SELECT dom.k AS topic_domain, att.k AS attribute, dom.s * att.s AS share FROM (SELECT unnest([{'k': '科技', 's': 0.3::DOUBLE}, {'k': '教育', 's': 0.3::DOUBLE}, {'k': '社会', 's': 0.4::DOUBLE}], recursive := true)) dom, (SELECT unnest([{'k': '说明', 's': 0.5::DOUBLE}, {'k': '议论', 's': 0.25::DOUBLE}, {'k': '抒情', 's': 0.25::DOUBLE}], recursive := true)) att),
-t AS (SELECT topic_domain, attribute, round(share * 1000, 6) AS target FROM q), h AS (SELECT topic_domain, attribute, count(*) AS actual FROM generation_plan GROUP BY ALL)
-SELECT t.topic_domain, t.attribute, target, coalesce(actual, 0) AS actual, round((coalesce(actual, 0) - target) / nullif(target, 0), 6) AS deviation, coalesce(abs((coalesce(actual, 0) - target) / nullif(target, 0)) <= 0.1, false) AS within FROM t LEFT JOIN h ON t.topic_domain = h.topic_domain AND t.attribute = h.attribute""")
+def _sql_shares(shares: dict[str, float]) -> str:
+    return "(SELECT unnest([" + ", ".join(f"{{'k': '{k}', 's': {v}::DOUBLE}}" for k, v in shares.items()) + "], recursive := true))"
+
+
+@query(f"""WITH h AS (SELECT g.topic_domain, {sql_label(sql_bin('length(p.text_content)', list(planning.LENGTH_EDGES)), list(planning.LENGTH_EDGES))} AS length_range, p.attribute FROM parallel_dataset p JOIN generation_plan g ON CAST(substr(p.text_id, 10) AS BIGINT) = g.plan_id),
+q AS (SELECT a.k AS topic_domain, b.k AS length_range, c.k AS attribute, a.s * b.s * c.s AS share FROM {_sql_shares(planning.DOMAIN_SHARES)} a, {_sql_shares(planning.LENGTH_SHARES)} b, {_sql_shares(planning.ATTRIBUTE_SHARES)} c),
+t AS (SELECT topic_domain, length_range, attribute, round(share * (SELECT count(*) FROM h), 6) AS target FROM q), n AS (SELECT topic_domain, length_range, attribute, count(*) AS actual FROM h GROUP BY ALL)
+SELECT t.topic_domain, t.length_range, t.attribute, target, coalesce(actual, 0) AS actual, round((coalesce(actual, 0) - target) / nullif(target, 0), 6) AS deviation, coalesce(abs((coalesce(actual, 0) - target) / nullif(target, 0)) <= 0.1, false) AS within
+FROM t LEFT JOIN n ON t.topic_domain = n.topic_domain AND t.length_range = n.length_range AND t.attribute = n.attribute""")
 def quota_matrix(spark, d):
-    targets = planning.quotas([{"科技": 0.3, "教育": 0.3, "社会": 0.4}, {"说明": 0.5, "议论": 0.25, "抒情": 0.25}], ["topic_domain", "attribute"], spark, 1000)
-    return planning.against(targets, table(spark, d, "generation_plan"), ["topic_domain", "attribute"])
+    edges = list(planning.LENGTH_EDGES)
+    texts = table(spark, d, "parallel_dataset").select("attribute", maths.bin_label(maths.bin_of(F.length("text_content"), edges), edges).alias("length_range"), F.substring("text_id", 10, 20).cast("bigint").alias("plan_id"))
+    rows = texts.join(table(spark, d, "generation_plan").select("plan_id", "topic_domain"), "plan_id")
+    names = ["topic_domain", "length_range", "attribute"]
+    return planning.against(planning.quotas([planning.DOMAIN_SHARES, planning.LENGTH_SHARES, planning.ATTRIBUTE_SHARES], names, rows), rows, names)

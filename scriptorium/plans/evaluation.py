@@ -207,12 +207,11 @@ def detect_report(spark, d):
     return report(detection.response(corpus(spark, d), "id"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.1")
+@query("""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS match, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query, match, similarity, similarity >= 0.85 AS kept FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match) = 1""")
 def similarity_gate(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    b = e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("other"))
-    s = e.join(b, F.col("vec_id") == F.col("a")).withColumn("similarity", maths.cosine(F.col("embedding"), F.col("other")))
-    return s.filter("similarity >= 0.1").select("a", "b", F.round("similarity", 5).alias("similarity"))
+    return detection.gated(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding")
 
 
 @query("SELECT p.row_id, round(levenshtein(g.prompt, p.prompt)::DOUBLE / nullif(length(g.prompt), 0), 6) AS edit_share FROM parallel_dataset p JOIN generation_plan g ON CAST(substr(p.text_id, 10) AS BIGINT) = g.plan_id")

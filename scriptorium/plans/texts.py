@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import markup, spans, text
 from scriptorium.functions.classes import DIGIT, SPACE
-from scriptorium.operators import graph, integration, metrics, planning, records, sampling
+from scriptorium.operators import ranges, graph, integration, metrics, planning, records, sampling
 from scriptorium.plans.curation import sql_rank
 from scriptorium.plans.formats import sql_coin, sql_trim
 from scriptorium.plans.registry import CORPUS, corpus, query, quoted, scored
@@ -113,12 +113,12 @@ def humanize(spark, d):
     return _humanized(spark, d).select("id", "humanized")
 
 
-@query(f"""WITH {CORPUS}, {_HUMAN}, a AS (SELECT id, humanized AS text, 0 + 1 AS label, 'humanized_ai' AS type FROM (SELECT *, {sql_rank('id')} AS rk FROM z WHERE length(humanized) > 50 AND humanized <> text) WHERE rk <= 200),
-u AS (SELECT id, text, 0 AS label, 'human' AS type FROM (SELECT *, {sql_rank('id')} AS rk FROM corpus WHERE label = 0) WHERE rk <= 200) SELECT * FROM a UNION ALL SELECT * FROM u""")
+@query(f"""WITH {CORPUS}, {_HUMAN}, a AS (SELECT id, humanized AS text, 0 + 1 AS label, 'humanized_ai' AS type FROM (SELECT *, {sql_rank('id')} AS rk FROM z WHERE length(humanized) > 50 AND humanized <> text) WHERE rk <= 500),
+u AS (SELECT id, text, 0 AS label, 'human' AS type FROM (SELECT *, {sql_rank('id')} AS rk FROM corpus WHERE label = 0) WHERE rk <= 500) SELECT * FROM a UNION ALL SELECT * FROM u""")
 def hard_set(spark, d):
     changed = _humanized(spark, d).filter((F.length("humanized") > 50) & (F.col("humanized") != _t()))
-    a = sampling.sample_n(changed, "id", 200).select("id", F.col("humanized").alias("text"), F.lit(1).alias("label"), F.lit("humanized_ai").alias("type"))
-    h = sampling.sample_n(corpus(spark, d).filter("label = 0").select("id", "text"), "id", 200).select("id", "text", F.lit(0).alias("label"), F.lit("human").alias("type"))
+    a = sampling.sample_n(changed, "id", 500).select("id", F.col("humanized").alias("text"), F.lit(1).alias("label"), F.lit("humanized_ai").alias("type"))
+    h = sampling.sample_n(corpus(spark, d).filter("label = 0").select("id", "text"), "id", 500).select("id", "text", F.lit(0).alias("label"), F.lit("human").alias("type"))
     return a.unionByName(h)
 
 
@@ -231,7 +231,7 @@ def label_padding(spark, d):
 
 
 def _sql_keyword(x: str, rules, default: str) -> str:
-    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({x}, '{w}')" for w in words.split()) + f" THEN '{name}'" for name, words in rules) + f" ELSE '{default}' END"
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({x}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in rules) + f" ELSE '{default}' END"
 
 
 def _sql_pick(x: str, weights) -> str:
@@ -281,11 +281,21 @@ def template_topic_cross(spark, d):
     return planning.combinations(topics, numbered).select((F.col("i") + 1).alias("template"), "topic", text.fill(F.col("template_text"), topic=F.col("topic")).alias("prompt"))
 
 
-@query("WITH a AS (SELECT DISTINCT attribute AS x FROM generation_plan WHERE attribute IS NOT NULL), g AS (SELECT DISTINCT genre AS x FROM generation_plan WHERE genre IS NOT NULL), s AS (SELECT DISTINCT style AS x FROM generation_plan WHERE style IS NOT NULL), c AS (SELECT a.x AS attribute, g.x AS genre, s.x AS style, ('0x' || substr(md5(concat_ws('|', a.x, g.x, s.x)), 1, 4))::INT / 65536.0::DOUBLE AS score FROM a, g, s) SELECT attribute, genre, style, round(score, 6) AS score FROM c WHERE score >= 0.6")
+_DIMENSIONS = (("attribute", 1), ("genre", 3), ("style", 7), ("topic", 13), ("writer_role", 29), ("constraint_text", 53))
+_MIXED = " + ".join(f"{c}.h * {k}" for c, k in _DIMENSIONS)
+
+
+@query("WITH " + ", ".join(f"{c} AS (SELECT {c} AS v, ('0x' || substr(md5({c}), 1, 4))::INT AS h FROM generation_plan WHERE {c} IS NOT NULL GROUP BY ALL)" for c, _ in _DIMENSIONS) + f""",
+s AS (SELECT attribute.v AS attribute, genre.v AS genre, style.v AS style, (({_MIXED}) % 1000) / 1000.0::DOUBLE AS score FROM attribute, genre, style, topic, writer_role, constraint_text)
+SELECT attribute, genre, style, count(*) AS n_combinations, count(*) FILTER (score >= 0.6) AS n_kept, round(avg(score) FILTER (score >= 0.6), 6) AS mean_score FROM s GROUP BY ALL""")
 def combination_space(spark, d):
-    dim = lambda c: table(spark, d, "generation_plan").filter(F.col(c).isNotNull()).select(c).distinct()
-    each = planning.combinations(dim("attribute"), dim("genre"), dim("style"))
-    return each.withColumn("score", markup.coin(F.col("attribute"), F.col("genre"), F.col("style"))).filter("score >= 0.6").withColumn("score", F.round("score", 6))
+    plan = table(spark, d, "generation_plan")
+    dims = [plan.filter(F.col(c).isNotNull()).select(c).distinct().select(c, F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int").alias(f"h_{c}")) for c in ("topic", "attribute", "genre", "style", "writer_role", "constraint_text")]
+    score = sum(F.col(f"h_{c}") * k for c, k in _DIMENSIONS) % 1000 / F.lit(1000.0)
+    kept = F.when(F.col("score") >= 0.6, F.col("score"))
+    # The largest dimension is spread, so that what it is combined with is made in all tasks.
+    all_ = planning.combinations(dims[0].repartition("topic"), *dims[1:]).withColumn("score", score)
+    return all_.groupBy("attribute", "genre", "style").agg(F.count("*").alias("n_combinations"), F.count(kept).alias("n_kept"), F.round(F.avg(kept), 6).alias("mean_score"))
 
 
 @query(f"WITH m AS (SELECT DISTINCT source_model AS m FROM parallel_dataset WHERE source_model IS NOT NULL), r AS (SELECT p.plan_id, m.m, row_number() OVER (PARTITION BY p.plan_id ORDER BY md5(p.plan_id || '|' || m.m), m.m) AS rk FROM generation_plan p, m) SELECT plan_id, string_agg(m, '+' ORDER BY rk) AS pair FROM r WHERE rk <= 2 GROUP BY plan_id")
@@ -321,18 +331,24 @@ def record_builders(spark, d):
 @query("SELECT doc_id, CASE WHEN boundary IS NOT NULL THEN 'has' ELSE 'none' END AS boundary_present, 'c2_' || (row_number() OVER (ORDER BY doc_id) - 1) AS default_id FROM documents WHERE category = 'C2'")
 def default_ids(spark, d):
     rows = table(spark, d, "documents").filter("category = 'C2'").select("doc_id", "boundary")
-    numbered = sampling_order(rows)
+    numbered = ranges.numbered(rows, "doc_id")
     return numbered.select("doc_id", F.when(F.col("boundary").isNotNull(), "has").otherwise("none").alias("boundary_present"), F.concat(F.lit("c2_"), F.col("n")).alias("default_id"))
 
 
-def sampling_order(rows):
-    """0, 1, ... in order of doc_id, by ranges of a thousand ids and the counts of the ranges before."""
-    from pyspark.sql import Window
+_GATES = {"C2": (80, None, 30, 300), "C3": (50, None, 50, 100), "C4": (50, 1000, 30, 200)}
+_MADE = {
+    "C2": f"SELECT 'C2' AS category, h.id, substr(h.text, 1, {_CUT}) || n.text AS text, {_CUT} AS boundary, length(h.text) AS given, length(n.text) AS made FROM corpus h JOIN documents n ON n.doc_id = h.id + 1 WHERE h.label = 0 AND n.text IS NOT NULL".replace("length(text)", "length(h.text)").replace("CAST(id AS VARCHAR)", "CAST(h.id AS VARCHAR)"),
+    "C3": "SELECT 'C3', h.id, n.text, NULL, length(h.text), length(n.text) FROM corpus h JOIN documents n ON n.doc_id = h.id + 1 WHERE h.label = 1 AND n.text IS NOT NULL",
+    "C4": "SELECT 'C4', h.id, n.text, NULL, length(h.text), length(n.text) FROM corpus h JOIN documents n ON n.doc_id = h.id + 1 WHERE h.label = 0 AND n.text IS NOT NULL",
+}
+
 
-    r = rows.withColumn("range", F.floor(F.col("doc_id") / 1000))
-    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    first = r.groupBy("range").agg(F.count("*").alias("c")).select("range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
-    return r.withColumn("i", F.row_number().over(Window.partitionBy("range").orderBy("doc_id"))).join(first, "range").withColumn("n", F.col("i") - 1 + F.col("first"))
+@query(f"WITH {CORPUS}, m AS ({' UNION ALL '.join(_MADE.values())}), g AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS place FROM m WHERE " + " OR ".join(f"(category = '{c}' AND given >= {low}{f' AND given <= {high}' if high else ''} AND made > {least})" for c, (low, high, least, _) in _GATES.items()) + ") SELECT category, id, substr(md5(text), 1, 12) AS text_id, text, boundary::INT AS boundary, place::INT AS place FROM g WHERE " + " OR ".join(f"(category = '{c}' AND place <= {q})" for c, (*_, q) in _GATES.items()))
+def generated_records(spark, d):
+    c = corpus(spark, d).withColumnRenamed("text", "given")
+    made = _docs(spark, d).select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("made"))
+    parts = {"C2": c.filter("label = 0").withColumn("cut", text.prefix_cut(F.col("given"), F.col("id"))), "C3": c.filter("label = 1"), "C4": c.filter("label = 0")}
+    return integration.union([records.generator(rows.select("id", "given", *(["cut"] if "cut" in rows.columns else [])).join(made, "id"), name, *_GATES[name]) for name, rows in parts.items()])
 
 
 @query("SELECT row_id, generated_at, try_cast(generated_at AS TIMESTAMP) AS at FROM parallel_dataset WHERE regexp_matches(generated_at, '^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}$')")
