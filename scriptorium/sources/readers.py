@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import random
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,18 +28,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def csv(spark: SparkSession, path: str | list[str], schema: T.StructType, line_feeds: bool = True) -> DataFrame:
     """CSV with a header, quoted line feeds and doubled quotes; a leading byte order mark is dropped.
 
-    Columns are found by name, missing ones are null, unknown ones are left out.
+    Columns are found by name, missing ones are null, unknown ones are left out. Fields may hold line feeds, so that a file is
+    read by one task; where none does, ``line_feeds=False`` lets large files be split.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=line_feeds, escape='"', inferSchema=False)
     names = {c.lstrip("﻿"): c for c in raw.columns}
     return raw.select(*[(F.col(f"`{names[f.name]}`").try_cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 
 
 def json_array(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Files that hold one JSON array each."""
+    """Files that hold one JSON array each; an array can't be split, so a file is read by one task. Large data belongs into ``json_lines``."""
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
@@ -54,12 +56,17 @@ def globbed(spark: SparkSession, pattern: str, schema: T.StructType, skip: str |
 
 
 def qa(spark: SparkSession, path: str, config: str = "all") -> DataFrame:
-    """Questions with both kinds of answers; ``id`` is the line's ordinal, ``source`` exists in 'all' only."""
+    """Questions with both kinds of answers; ``id`` is the line's ordinal, ``source`` exists in 'all' only.
+
+    Lines are numbered within the splits of the files, and the splits' counts, of which there are as many as tasks, give each its first number.
+    """
     if config not in QA_CONFIGS:
         raise ValueError(f"unknown configuration: {config}")
-    lines = spark.read.text(path).select(F.from_json("value", QA).alias("r"))
-    kind = T.StructType([T.StructField("r", QA), T.StructField("id", T.LongType())])
-    rows = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[0]["r"], x[1])), kind)
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).withColumn("task", F.shiftright("at", 33))
+    counts = lines.groupBy("task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rows = lines.join(F.broadcast(first), "task").select(F.from_json("value", QA).alias("r"), (F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
     return rows.select("id", "r.question", "r.human_answers", "r.chatgpt_answers", *(["r.source"] if config == "all" else []))
 
 
@@ -76,10 +83,25 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip_space(F.col("value")).alias("text")).filter("text <> ''")
 
 
-def discovered(folder: str, kinds: tuple[str, ...] = (".csv", ".json")) -> list[str]:
-    """All data files below a folder, sorted; names that begin with '.' or '~' are skipped."""
-    out = [os.path.join(root, f) for root, _, files in os.walk(folder) for f in files if f.endswith(kinds) and f[0] not in ".~"]
-    return sorted(out)
+def _files(spark: SparkSession, folder: str, below: bool) -> Iterator[str]:
+    """The files in a folder, or below it, of whatever file system its address names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, below)
+    while found.hasNext():
+        yield found.next().getPath().toString()
+
+
+def discovered(spark: SparkSession, folder: str, kinds: tuple[str, ...] = (".csv", ".json")) -> list[str]:
+    """The addresses of all data files below a folder, sorted; names that begin with '.' or '~' are skipped."""
+    return sorted(f for f in _files(spark, folder, True) if f.endswith(kinds) and f.rsplit("/", 1)[1][0] not in ".~")
+
+
+def data_rows(spark: SparkSession, path: str) -> int:
+    """The rows of a CSV file with a header; 0 where there is no file, or nothing in it."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+        return 0
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False).count()
 
 
 def tolerant(readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
@@ -101,9 +123,9 @@ def text_and_label(columns: list[str]) -> tuple[str | None, str | None]:
     return next((low[n] for n in TEXT_NAMES if n in low), None), next((low[n] for n in LABEL_NAMES if n in low), None)
 
 
-def newest(folder: str, pattern: str) -> str | None:
-    """The last name, in reverse order of names, that matches."""
-    return max((f for f in os.listdir(folder) if re.fullmatch(pattern, f)), default=None)
+def newest(spark: SparkSession, folder: str, pattern: str) -> str | None:
+    """The last name, in order of names, of a folder's files that matches."""
+    return max((n for n in (f.rsplit("/", 1)[1] for f in _files(spark, folder, False)) if re.fullmatch(pattern, n)), default=None)
 
 
 def blocks(text: str, aliases: dict[str, str] | None = None) -> list[dict[str, str]]:
@@ -160,3 +182,49 @@ def with_failover(calls: list[Callable[[str], str | None]], attempts: int = 3, p
         return None
 
     return call
+
+
+@dataclass
+class Endpoint:
+    """A service: its name, all its models, its models by family, and what calls it with prompt and model."""
+
+    name: str
+    models: list[str]
+    call: Callable[[str, str], str | None]
+    family_models: dict[str, list[str]] = field(default_factory=dict)
+
+
+class Limited(Exception):
+    """A call failed because the service is busy or its answer can't be read; the next attempt waits longer."""
+
+
+def routed(endpoints: list[Endpoint], attempts: int = 3, pause: Callable[[float], None] | None = None, busy: float = 6.0, failed: float = 2.0) -> Callable[[str, str], tuple[str | None, str, str]]:
+    """A generator that routes a prompt to the services that have models of its family, or to all if none has.
+
+    The services are taken in an order that depends on prompt and family, up to ``attempts`` of them, each with one of its models of the
+    family, or of all its models. Gives text, service and model; or null, 'all_failed' and the last failure as service and reason. Between attempts
+    ``pause`` is called with seconds.
+    """
+
+    def call(prompt: str, family: str) -> tuple[str | None, str, str]:
+        rng = random.Random(f"{family}|{prompt}")
+        able = [e for e in endpoints if e.family_models.get(family)] or list(endpoints)
+        rng.shuffle(able)
+        last = "exhausted"
+        for e in able[: max(0, attempts)]:
+            model = rng.choice(e.family_models.get(family) or e.models)
+            wait = failed
+            try:
+                out = e.call(prompt, model)
+                if out:
+                    return out, e.name, model
+                last = f"{e.name}:empty"
+            except Limited as x:
+                last, wait = f"{e.name}:{x}", busy
+            except Exception as x:
+                last = f"{e.name}:{x}"
+            if pause:
+                pause(wait)
+        return None, "all_failed", last
+
+    return call

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -12,22 +15,47 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_once(batch: DataFrame, epoch: int, path: str, key: str) -> None:
+def append_once(batch: DataFrame, epoch: int, path: str, key: str, known: bool = False) -> None:
     """Writes a batch under its epoch, without keys that other epochs hold.
 
-    The epoch's folder is overwritten, so a batch that is repeated after a crash leaves one copy.
+    The epoch's folder is overwritten, so a batch that is repeated after a crash leaves one copy. Of the sink only the files are read whose
+    keys may lie between the batch's least and greatest; with ``known``, where the stream's own state has left out what was written before, none.
     """
     spark = batch.sparkSession
     new = batch.dropDuplicates([key])
-    if _exists(spark, path):
-        done = spark.read.parquet(path).filter(F.col("epoch") != epoch).select(key)
+    if not known and _exists(spark, path):
+        low, high = batch.agg(F.min(key), F.max(key)).first()
+        done = spark.read.parquet(path).filter((F.col("epoch") != epoch) & F.col(key).between(low, high)).select(key)
         new = new.join(done, key, "left_anti")
-    new.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    new.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
 def start(stream: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Appends everything that is available now and ends."""
-    return stream.writeStream.foreachBatch(lambda b, e: append_once(b, e, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends everything that is available now and ends.
+
+    The keys written so far are kept in the stream's state, which the checkpoint holds, so no batch reads the sink. A sink that another
+    checkpoint has written to is read by the range of each batch's keys.
+    """
+    spark = stream.sparkSession
+    alone = _exists(spark, checkpoint) or not _exists(spark, path)
+    return stream.dropDuplicates([key]).writeStream.foreachBatch(lambda b, e: append_once(b, e, path, key, alone)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def until(batch: Callable[[], object], done: Callable[[], int], target: int, pause: Callable[[], None] | None = None, most: int | None = None) -> int:
+    """Runs batches until ``done`` counts the target, or ``most`` batches; gives how many were run. A batch that fails is followed by the next.
+
+    ``pause`` is called after each batch. Without ``most`` there is no end but the target.
+    """
+    n = 0
+    while done() < target and (most is None or n < most):
+        try:
+            batch()
+        except Exception as e:
+            warnings.warn(f"batch {n} failed: {e}", stacklevel=2)
+        n += 1
+        if pause:
+            pause()
+    return n
 
 
 def unfinished(plan: DataFrame, path: str, key: str) -> DataFrame:

@@ -120,12 +120,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t.txt").write_text("  a \n\n　b\n")
     assert [r["text"] for r in readers.lines(spark, str(tmp_path / "t.txt")).collect()] == ["a", "b"]
     (tmp_path / ".x.csv").write_text("")
-    assert [p.rsplit("/", 1)[1] for p in readers.discovered(str(tmp_path))] == ["a.csv", "c2_1.json", "c2_span_labels.json", "l.json"]
+    assert [p.rsplit("/", 1)[1] for p in readers.discovered(spark, str(tmp_path))] == ["a.csv", "c2_1.json", "c2_span_labels.json", "l.json"]
     found, missing = readers.tolerant({"a": lambda: readers.csv(spark, str(tmp_path / "a.csv"), readers.LABELLED), "b": lambda: spark.read.parquet(str(tmp_path / "none"))})
     assert list(found) == ["a"] and list(missing) == ["b"]
     assert readers.text_and_label(["ID", "Content", "标签"]) == ("Content", "标签")
     assert readers.blocks("One：\nurl: http://x\nkey：k\n\nTwo\nurl: y", {"Two": "Second"}) == [{"name": "one", "url": "http://x", "key": "k"}, {"name": "second", "url": "y"}]
-    assert readers.newest(str(tmp_path), r"c2.*\.json") == "c2_span_labels.json"
+    assert readers.newest(spark, str(tmp_path), r"c2.*\.json") == "c2_span_labels.json"
 
 
 def test_generated_survives_failures(spark):
@@ -138,6 +138,107 @@ def test_generated_survives_failures(spark):
     assert [r["result"] for r in readers.generated(df, call).collect()] == ["A", None, None]
 
 
+def test_counts_rows_and_splits_plain_files(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("text,label\na,1\nb,0\n")
+    assert readers.data_rows(spark, str(tmp_path / "n.csv")) == 2 and readers.data_rows(spark, str(tmp_path / "none.csv")) == 0
+    (tmp_path / "h.csv").write_text("text,label\n")
+    (tmp_path / "e.csv").write_text("")
+    assert readers.data_rows(spark, str(tmp_path / "h.csv")) == 0 and readers.data_rows(spark, str(tmp_path / "e.csv")) == 0
+    assert [tuple(r) for r in readers.csv(spark, str(tmp_path / "n.csv"), readers.LABELLED, line_feeds=False).collect()] == [("a", 1), ("b", 0)]
+
+
+def test_questions_are_numbered_by_line(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.jsonl").write_text("".join(json.dumps({"question": f"{k}-{i}", "human_answers": []}) + "\n" for i in range(4)))
+    rows = readers.qa(spark, str(tmp_path), "all").orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(12)) and {r["question"] for r in rows} == {f"{k}-{i}" for k in range(3) for i in range(4)}
+    assert all(int(a["question"][2]) + 1 == int(b["question"][2]) for a, b in zip(rows, rows[1:]) if a["question"][0] == b["question"][0])
+
+
+def test_routing_by_family():
+    def busy(prompt, model):
+        raise readers.Limited("429")
+
+    calls, waits = [], []
+    good = readers.Endpoint("good", ["m1", "m2"], lambda p, m: calls.append(m) or p + m, {"gpt": ["m2"]})
+    bad = readers.Endpoint("bad", ["b"], busy, {"gpt": ["b"]})
+    other = readers.Endpoint("other", ["o"], lambda p, m: m, {"qwen": ["o"]})
+    route = readers.routed([good, bad, other], 3, waits.append)
+    assert {route(f"p{i}", "gpt")[1:] for i in range(8)} == {("good", "m2")} and set(waits) == {6.0}
+    assert route("p", "qwen") == ("o", "other", "o") and route("p", "none")[1] in {"good", "other"}
+    assert readers.routed([bad], 3)("p", "gpt") == (None, "all_failed", "bad:429")
+    assert readers.routed([good], 0)("p", "gpt") == (None, "all_failed", "exhausted")
+
+
+def test_batches_until_a_target(recwarn):
+    state = {"done": 0, "calls": 0}
+
+    def batch():
+        state["calls"] += 1
+        if state["calls"] == 2:
+            raise RuntimeError("lost")
+        state["done"] += 3
+
+    assert microbatch.until(batch, lambda: state["done"], 7) == 4 and state["done"] == 9 and len(recwarn) == 1
+    assert microbatch.until(batch, lambda: 0, 1, most=2) == 2 and microbatch.until(batch, lambda: 5, 5) == 0
+
+
+def test_medians_and_numbers_by_ranges(spark):
+    from scriptorium.operators import ranges
+
+    rng = random.Random(5)
+    rows = [(g, rng.choice([0.0, 1.0, rng.random()])) for g in ("a", "b", None) for _ in range(rng.randrange(50, 80))] + [("c", None), ("d", 0.25)]
+    got = {r["g"]: r["median"] for r in ranges.medians(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    import statistics
+
+    assert got == {g: statistics.median([v for h, v in rows if h == g and v is not None]) for g in ("a", "b", "d", None)}
+    ids = rng.sample(range(10_000), 200)
+    numbered = ranges.numbered(spark.createDataFrame([(i,) for i in ids], "id long"), "id").collect()
+    assert {r["id"]: r["n"] for r in numbered} == {i: n for n, i in enumerate(sorted(ids))}
+    assert ranges.numbered(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
+def test_curves_of_scores_that_pile_up(spark):
+    rng = random.Random(6)
+    rows = [(min(1.0, max(0.0, rng.choice([0.0, 1.0]) + rng.gauss(0, 1e-6))), rng.randrange(2)) for _ in range(400)]
+    got = metrics.roc(spark.createDataFrame(rows, "s double, label int"), "s").collect()
+    pos, neg = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    want = {t: (round(sum(y for s, y in rows if s >= t) / pos, 6), round(sum(1 - y for s, y in rows if s >= t) / neg, 6)) for t in {s for s, _ in rows}}
+    assert {r["threshold"]: (r["tpr"], r["fpr"]) for r in got} == want
+
+
+def test_gate_in_blocks(spark):
+    from scriptorium.operators import detection
+
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(60, None), (61, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    a = sorted(map(tuple, detection.gated(df, df, "vec_id", "embedding", 0.8).collect()))
+    b = sorted(map(tuple, detection.gated(df, df, "vec_id", "embedding", 0.8, block=7).collect()))
+    assert a == b and [r[0] for r in a] == list(range(60)) and {r[3] for r in a} == {True, False}
+    assert detection.gated(df.limit(0), df, "vec_id", "embedding").count() == 0
+
+
+def test_shared_folder_and_release(spark):
+    from scriptorium import session
+
+    t = session.stage(spark.range(5), "x")
+    path = t.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(path) and t.count() == 5
+    session.release(t)
+    assert not os.path.isdir(path)
+
+
+def test_fixpoint_of_deep_nesting(spark):
+    from scriptorium.functions import markup
+
+    deep = "> " * 12 + "- " * 5 + "x"
+    row = spark.createDataFrame([(deep, None)], "a string, b string").select(markup.strip_markup_fixpoint(F.col("a")).alias("a"), markup.strip_markup_fixpoint(F.col("b")).alias("b")).first()
+    assert row["a"] == "x" and row["b"] is None
+
+
 def test_failover():
     def broken(_):
         raise RuntimeError
