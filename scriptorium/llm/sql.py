@@ -37,5 +37,54 @@ SELECT row_id, md5(text) AS text_hash, true AS in_order, true AS fits, true AS o
 """
 
 
+#: Of ``docs`` (id, text, side): classes of equal content, their members, the distinct runs of five characters and how many a class has.
+_RUNS = r"""content AS (SELECT id, side, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS n FROM docs WHERE text IS NOT NULL),
+classes AS (SELECT n, side, min(id) AS cls FROM content WHERE length(n) >= 5 GROUP BY n, side),
+members AS (SELECT c.id, c.side, k.cls FROM content c JOIN classes k ON c.n = k.n AND c.side = k.side),
+runs AS (SELECT DISTINCT cls, side, substr(n, i::INT, 5) AS run FROM (SELECT cls, side, n, unnest(range(1, length(n) - 3)) AS i FROM classes)),
+sizes AS (SELECT cls, side, count(*) AS r FROM runs GROUP BY ALL)"""
+
+_P1 = f"""WITH docs AS (SELECT row_id AS id, text, 0 AS side FROM train UNION ALL SELECT row_id, text, 1 FROM val UNION ALL SELECT row_id, text, 1 FROM test),
+{_RUNS},
+met AS (SELECT a.cls AS a, b.cls AS b, count(*) AS shared FROM runs a JOIN runs b ON a.run = b.run WHERE a.side = 1 AND b.side = 0 GROUP BY ALL),
+near AS (SELECT a, b, shared = x.r AND shared = y.r AS exact FROM met JOIN sizes x ON x.cls = a AND x.side = 1 JOIN sizes y ON y.cls = b AND y.side = 0 WHERE 5 * shared >= 3 * (x.r + y.r - shared)),
+pairs AS (SELECT x.id AS eval_id, y.id AS train_id, exact FROM near JOIN members x ON x.cls = a AND x.side = 1 JOIN members y ON y.cls = b AND y.side = 0)
+"""
+
+P1_FOUND = _P1 + "SELECT least(eval_id, train_id) AS row_id_a, greatest(eval_id, train_id) AS row_id_b FROM pairs"
+
+P1_REPORT = (
+    _P1
+    + """, rows AS (SELECT row_id, 'val' AS split, source FROM val UNION ALL SELECT row_id, 'test', source FROM test),
+partners AS (SELECT eval_id, count(*) AS n, bool_or(exact) AS exact FROM pairs GROUP BY eval_id)
+SELECT split, source, count(*) AS n_rows, count(n) AS n_overlapping, count(*) FILTER (exact) AS n_exact, coalesce(sum(n), 0)::BIGINT AS n_pairs, round(count(n) / count(*)::DOUBLE, 6) AS overlap_share
+FROM rows LEFT JOIN partners ON row_id = eval_id GROUP BY split, source"""
+)
+
+_P3 = f"""WITH RECURSIVE docs AS (SELECT row_id AS id, text, 0 AS side FROM full_dataset UNION ALL SELECT row_id, text_content, 0 FROM parallel_dataset),
+{_RUNS},
+met AS (SELECT a.cls AS a, b.cls AS b, count(*) AS shared FROM runs a JOIN runs b ON a.run = b.run AND a.cls < b.cls GROUP BY ALL),
+near AS (SELECT a, b FROM met JOIN sizes x ON x.cls = a JOIN sizes y ON y.cls = b WHERE 5 * shared >= 3 * (x.r + y.r - shared)),
+ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+counted AS (SELECT cls, count(*) AS n FROM members GROUP BY cls)
+"""
+
+P3_FOUND = _P3 + "SELECT DISTINCT least(x.id, y.id) AS row_id_a, greatest(x.id, y.id) AS row_id_b FROM (SELECT a, b FROM near UNION ALL SELECT cls, cls FROM classes) JOIN members x ON x.cls = a JOIN members y ON y.cls = b WHERE x.id <> y.id"
+
+P3_LINKS = (
+    _P3
+    + """, linked AS (SELECT a, sum(n) AS n FROM ways JOIN counted ON cls = b GROUP BY a)
+SELECT m.id AS row_id, m.cls AS class_id, (c.n - 1 + coalesce(l.n, 0))::BIGINT AS n_links FROM members m JOIN counted c ON c.cls = m.cls LEFT JOIN linked l ON l.a = m.cls"""
+)
+
+P3_GROUPS = (
+    _P3
+    + """, reached AS (SELECT cls AS a, cls AS b FROM classes UNION SELECT r.a, w.b FROM reached r JOIN ways w ON r.b = w.a),
+grouped AS (SELECT a AS cls, min(b) AS group_id FROM reached GROUP BY a),
+sizes_of AS (SELECT group_id, sum(n) AS size FROM grouped JOIN counted USING (cls) GROUP BY group_id)
+SELECT m.id AS row_id, m.cls AS class_id, g.group_id, c.n AS class_size, s.size::BIGINT AS group_size FROM members m JOIN counted c ON c.cls = m.cls JOIN grouped g ON g.cls = m.cls JOIN sizes_of s ON s.group_id = g.group_id"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND, "p4_round_trip": P4_ROUND_TRIP, "p5_mix": P5_MIX, "p5_shares": P5_SHARES}
+    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p3_links": P3_LINKS, "p4_found": P4_FOUND, "p4_round_trip": P4_ROUND_TRIP, "p5_mix": P5_MIX, "p5_shares": P5_SHARES}
