@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import markup, spans, text
 from scriptorium.functions.classes import DIGIT, SPACE
-from scriptorium.operators import ranges, graph, integration, metrics, planning, records, sampling
+from scriptorium.operators import graph, integration, metrics, planning, ranges, records, sampling
 from scriptorium.plans.curation import sql_rank
 from scriptorium.plans.formats import sql_coin, sql_trim
 from scriptorium.plans.registry import CORPUS, corpus, query, quoted, scored
@@ -371,13 +371,27 @@ def request_fields(spark, d):
     return v.select(text.endpoint(F.col("url")).alias("endpoint"), text.bearer(F.col("auth")).alias("token"), text.client_key(F.col("fwd"), F.col("host")).alias("client"), text.truthy(F.col("flag")).alias("enabled"), text.label_number(F.col("label")).alias("label"), text.first_content(F.col("c"), F.col("r")).alias("content"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, event_type AS scope, coalesce(CAST(user_id AS VARCHAR), 'unknown') AS client, epoch_us(ts) / 1e6::DOUBLE AS ts, row_number() OVER (PARTITION BY event_type, coalesce(CAST(user_id AS VARCHAR), 'unknown') ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT id, scope, client, k, [ts] AS log, true AS admitted FROM e WHERE k = 1
+UNION ALL SELECT id, scope, client, k, CASE WHEN len(kept) < 3 THEN list_append(kept, ts) ELSE kept END, len(kept) < 3 FROM (SELECT e.*, list_filter(r.log, lambda x: x >= e.ts - 86400.0) AS kept FROM r JOIN e ON e.scope = r.scope AND e.client = r.client AND e.k = r.k + 1))
+SELECT id, scope, client, admitted FROM r""")
 def rate_limit(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("scope"), F.col("user_id").cast("string").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return limiter.limited(e.withColumn("ts", F.col("us") / 1e6), {}, window=86400.0, default=3).select("id", "scope", "client", "admitted")
 
 
-@query()
+_PIECES = f"regexp_extract_all(text, {quoted(f'[{SPACE}\\p{{P}}]+|[^{SPACE}\\p{{P}}]+')})"
+
+
+@query(f"""WITH p AS (SELECT doc_id, generate_subscripts({_PIECES}, 1) AS i, unnest({_PIECES}) AS piece FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM p),
+w AS (SELECT doc_id, lower(piece) AS w, begins FROM a WHERE regexp_matches(piece, '^[\\p{{L}}\\p{{N}}]')),
+e AS (SELECT DISTINCT x.doc_id, least(x.w, y.w) AS a, greatest(x.w, y.w) AS b FROM w x JOIN w y ON x.doc_id = y.doc_id AND y.begins BETWEEN x.begins AND x.begins + 50 AND x.w <> y.w),
+n AS (SELECT doc_id, count(DISTINCT w) AS nodes FROM w GROUP BY doc_id), g AS (SELECT doc_id, x, count(*) AS d FROM (SELECT doc_id, a AS x FROM e UNION ALL SELECT doc_id, b FROM e) GROUP BY ALL),
+t AS (SELECT doc_id, (sum(d) // 2)::BIGINT AS edges, sum(d * (d - 1) / 2)::DOUBLE AS triples FROM g GROUP BY doc_id),
+c AS (SELECT x.doc_id, count(*) AS triangles FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.b = y.a JOIN e z ON x.doc_id = z.doc_id AND x.a = z.a AND y.b = z.b GROUP BY x.doc_id)
+SELECT n.doc_id, nodes, coalesce(edges, 0)::BIGINT AS edges, round(2.0 * coalesce(edges, 0) / nullif(nodes * (nodes - 1), 0)::DOUBLE, 6) AS density, round(2.0::DOUBLE * coalesce(edges, 0) / nodes, 6) AS avg_degree, round(coalesce(3.0::DOUBLE * coalesce(triangles, 0) / nullif(triples, 0), 0), 6) AS clustering
+FROM n LEFT JOIN t ON n.doc_id = t.doc_id LEFT JOIN c ON n.doc_id = c.doc_id""")
 def text_graph(spark, d):
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
     return graph.text_statistics(docs, "doc_id", "text")
