@@ -383,10 +383,13 @@ def rate_limit(spark, d):
 _PIECES = f"regexp_extract_all(text, {quoted(f'[{SPACE}\\p{{P}}]+|[^{SPACE}\\p{{P}}]+')})"
 
 
-@query(f"""WITH p AS (SELECT doc_id, generate_subscripts({_PIECES}, 1) AS i, unnest({_PIECES}) AS piece FROM documents WHERE text IS NOT NULL),
+_GRAPH = f"""WITH RECURSIVE p AS (SELECT doc_id, generate_subscripts({_PIECES}, 1) AS i, unnest({_PIECES}) AS piece FROM documents WHERE text IS NOT NULL),
 a AS (SELECT doc_id, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM p),
 w AS (SELECT doc_id, lower(piece) AS w, begins FROM a WHERE regexp_matches(piece, '^[\\p{{L}}\\p{{N}}]')),
-e AS (SELECT DISTINCT x.doc_id, least(x.w, y.w) AS a, greatest(x.w, y.w) AS b FROM w x JOIN w y ON x.doc_id = y.doc_id AND y.begins BETWEEN x.begins AND x.begins + 50 AND x.w <> y.w),
+e AS (SELECT DISTINCT x.doc_id, least(x.w, y.w) AS a, greatest(x.w, y.w) AS b FROM w x JOIN w y ON x.doc_id = y.doc_id AND y.begins BETWEEN x.begins AND x.begins + 50 AND x.w <> y.w)"""
+
+
+@query(_GRAPH + """,
 n AS (SELECT doc_id, count(DISTINCT w) AS nodes FROM w GROUP BY doc_id), g AS (SELECT doc_id, x, count(*) AS d FROM (SELECT doc_id, a AS x FROM e UNION ALL SELECT doc_id, b FROM e) GROUP BY ALL),
 t AS (SELECT doc_id, (sum(d) // 2)::BIGINT AS edges, sum(d * (d - 1) / 2)::DOUBLE AS triples FROM g GROUP BY doc_id),
 c AS (SELECT x.doc_id, count(*) AS triangles FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.b = y.a JOIN e z ON x.doc_id = z.doc_id AND x.a = z.a AND y.b = z.b GROUP BY x.doc_id)
@@ -397,7 +400,10 @@ def text_graph(spark, d):
     return graph.text_statistics(docs, "doc_id", "text")
 
 
-@query()
+@query(_GRAPH + """,
+ways AS (SELECT doc_id, a AS x, b AS y FROM e UNION ALL SELECT doc_id, b, a FROM e),
+d(doc_id, x, y, n) USING KEY (doc_id, x, y) AS (SELECT doc_id, x, y, 1 FROM ways UNION SELECT d.doc_id, d.x, w.y, d.n + 1 FROM d JOIN ways w ON d.doc_id = w.doc_id AND d.y = w.x AND d.x <> w.y LEFT JOIN recurring.d k ON k.doc_id = d.doc_id AND k.x = d.x AND k.y = w.y WHERE k.n IS NULL)
+SELECT doc_id, round(avg(n), 6) AS avg_path_length FROM d GROUP BY doc_id""")
 def graph_paths(spark, d):
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
     return graph.text_path_lengths(docs, "doc_id", "text")
