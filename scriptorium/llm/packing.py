@@ -40,17 +40,20 @@ def _knapsack(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.n
     return best, take
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 160, eta: float = 0.5) -> tuple[list[tuple[Filling, int]], float]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 160, eta: float = 0.5, gap: float = 0.001) -> tuple[list[tuple[Filling, int]], float]:
     """Fillings with the number of containers that get each, and a lower bound on the number of containers.
 
-    ``histogram``: items by size, all sizes in 1..capacity. ``rounds`` bounds the pricing rounds.
+    ``histogram``: items by size, all sizes in 1..capacity. ``rounds`` bounds the pricing rounds; after 10, 20, 40, ... of them the solution is
+    rounded, the best one is kept, and there are no more once it is within ``gap`` of the bound.
     """
     if not histogram:
         return [], 0.0
     sizes = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[s] for s in sizes.tolist()], dtype=float)
     covered, amount, bound = np.zeros(len(sizes)), Counter(), float((sizes * need).sum()) / capacity
-    for _ in range(rounds):
+    top: list[tuple[Filling, int]] | None = None
+    check = 10
+    for done in range(1, rounds + 1):
         weight = np.exp(-eta * (covered - covered.min()) * np.log(len(sizes) + 2))
         price = weight / need
         best, take = _knapsack(sizes, price, capacity)
@@ -73,7 +76,22 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 160, eta: floa
             for i, n in got.items():
                 gain[i] += step * n / need[i]
         covered += gain
-    scale = 1 / max(covered.mean(), 1e-9)
+        if done == check or done == rounds:
+            check *= 2
+            plan = _rounded(amount, sizes, need, 1 / max(covered.mean(), 1e-9), capacity)
+            if top is None or _containers(plan) < _containers(top):
+                top = plan
+            if _containers(top) <= np.ceil(bound - 1e-6) * (1 + gap) + 1:
+                break
+    return top or [], bound
+
+
+def _containers(plan: list[tuple[Filling, int]]) -> int:
+    return sum(n for _, n in plan)
+
+
+def _rounded(amount: Counter, sizes: np.ndarray, need: np.ndarray, scale: float, capacity: int) -> list[tuple[Filling, int]]:
+    """The fractional solution, scaled to cover, rounded down; what is left over is packed best fit."""
     left, plan = need.astype(np.int64).copy(), []
     for config, x in sorted(amount.items(), key=lambda e: (-e[1], e[0])):
         n = min(int(x * scale), *(int(left[i]) // m for i, m in config))
@@ -81,7 +99,7 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 160, eta: floa
             plan.append((tuple((int(sizes[i]), m) for i, m in config), n))
             for i, m in config:
                 left[i] -= n * m
-    return plan + _best_fit({int(s): int(n) for s, n in zip(sizes, left) if n}, capacity), bound
+    return plan + _best_fit({int(s): int(n) for s, n in zip(sizes, left) if n}, capacity)
 
 
 def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
