@@ -173,7 +173,7 @@ class Model:
         self.top = (self.made.max(axis=0)[None, :] - self.path).astype(np.float32)
         self.top[:, 1:][:, ascii_] = -0.02
         self.chars = [""] + [chr(c) for c in chars]
-        self._raw: dict[str, tuple[list[bytes], np.ndarray]] = {}
+        self._raw: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         # Transitions: how often the last labelling entered each pair's state, and how soon it left. Half is the prior.
         entered = [counts.get(STRETCHES + k, 0) for k in range(len(PAIRS))]
         inside, left = counts.get(STRETCHES + len(PAIRS), 0), counts.get(STRETCHES + len(PAIRS) + 1, 0)
@@ -190,17 +190,15 @@ class Model:
         each = self.clean[before(data, first), self.index[data]]
         return float(each[~gone].sum() + lost * gone.sum()), int(_CONTEXT[data[-1]])
 
-    def raw(self, codec: str) -> tuple[list[bytes], np.ndarray]:
-        """What each character was read from, FF where that can't be, and its length; by index."""
+    def raw(self, codec: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the characters were read from, FF where that can't be: all bytes, and by index where a character's begin and how many they are."""
         if codec not in self._raw:
             made = [c.encode() if c.isascii() and c else (unread(c, codec) if c and c != LOST else None) or b"\xff" for c in self.chars]
-            self._raw[codec] = made, np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+            sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+            self._raw[codec] = np.frombuffer(b"".join(made), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
         return self._raw[codec]
 
 
-_UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-
-
 def _lone(high: np.ndarray) -> np.ndarray:
     """Characters beyond ASCII that stand alone."""
     near = np.zeros(len(high), dtype=bool)
@@ -212,14 +210,23 @@ def _lone(high: np.ndarray) -> np.ndarray:
 def _placed(model: Model, data: np.ndarray, at: np.ndarray, as_: str) -> np.ndarray:
     """Which characters (code points and their indexes) stand where UTF-8 read as ``as_`` could have put them; ASCII ones do."""
     high = data >= 0x80
-    raw, sizes = model.raw(as_)
+    raw, begins, sizes = model.raw(as_)
     size = sizes[at]
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    edges = np.zeros(int(size.sum()) + 1, dtype=np.int32)
-    for m in _UTF8.finditer(b"".join([raw[i] for i in at.tolist()])):
-        edges[m.start()] += 1
-        edges[m.end()] -= 1
-    ok = np.logical_or.reduceat(np.cumsum(edges)[:-1] > 0, first)
+    first = np.cumsum(size) - size
+    made = raw[np.arange(int(size.sum())) + np.repeat(begins[at] - first, size)] if sizes.max(initial=1) > 1 else raw[begins[at]]
+    wide = np.concatenate([made, np.zeros(4, dtype=np.uint8)])
+    follows = (wide & 0xC0) == 0x80
+    n = len(made)
+    # Sequences of UTF-8 can't overlap, since what begins one never continues one.
+    two = (made >= 0xC2) & (made <= 0xDF) & follows[1 : n + 1]
+    three = (made >= 0xE0) & (made <= 0xEF) & follows[1 : n + 1] & follows[2 : n + 2]
+    four = (made >= 0xF0) & (made <= 0xF4) & follows[1 : n + 1] & follows[2 : n + 2] & follows[3 : n + 3]
+    whole = two | three | four
+    longer = three | four
+    inside = np.zeros(n + 3, dtype=bool)
+    for k, begin in enumerate((whole, whole, longer, four)):
+        inside[k : n + k] |= begin
+    ok = np.logical_or.reduceat(inside[:n], first)
     # What couldn't be read belongs to the character before it.
     lost = data == 0xFFFD
     if lost.any():
@@ -257,7 +264,7 @@ def _viterbi(jobs: list[np.ndarray], enter_: list[np.ndarray], leave_: float) ->
         longest = jobs[order[-1]].shape[1]
         take = [order.pop()]
         most = jobs[take[0]].shape[0]
-        while order and len(take) < 256 and jobs[order[-1]].shape[1] * 2 > longest and longest * max(most, jobs[order[-1]].shape[0]) * (len(take) + 1) < 4_000_000:
+        while order and len(take) < 256 and jobs[order[-1]].shape[1] * 8 > longest and longest * max(most, jobs[order[-1]].shape[0]) * (len(take) + 1) < 4_000_000:
             take.append(order.pop())
             most = max(most, jobs[take[-1]].shape[0])
         rows = np.full((longest, len(take), most), -50.0, dtype=np.float32)
@@ -274,14 +281,16 @@ def _viterbi(jobs: list[np.ndarray], enter_: list[np.ndarray], leave_: float) ->
         state = np.full(len(take), -1)
         alive = len(take)
         for t in range(longest):
-            history[t] = there
-            leave = there.max(axis=1) + leave_
-            enter = clean[:, None] + entering
-            np.greater(enter, there, out=entered[t])
-            there = np.maximum(enter, there)
-            there += rows[t]
-            np.greater(leave, clean, out=left[t])
-            np.maximum(clean, leave, out=clean)
+            # The longest come first; those that have ended are left out.
+            x, c = there[:alive], clean[:alive]
+            history[t, :alive] = x
+            leave = x.max(axis=1) + leave_
+            enter = c[:, None] + entering[:alive]
+            np.greater(enter, x, out=entered[t, :alive])
+            np.maximum(enter, x, out=x)
+            x += rows[t, :alive]
+            np.greater(leave, c, out=left[t, :alive])
+            np.maximum(c, leave, out=c)
             while alive and sizes[alive - 1] == t + 1:  # a text may end garbled
                 alive -= 1
                 top = int(there[alive].argmax())
@@ -355,7 +364,7 @@ def _regions(model: Model, text: str) -> list[tuple[int, np.ndarray, np.ndarray]
     at, context = model.index[data], before(data)
     need = -model.enter.max()
     top = model.top[context, at]
-    if np.maximum(top, 0).sum() <= need:
+    if np.maximum(top, 0).sum() <= need or _best_stretches(top[None, :])[0] <= need:
         return []
     found = []
     for start, stop in _runs(_through(top[None, :])[0] > need, STRETCH):
