@@ -219,3 +219,19 @@ def count(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind.simpleString()}, n_tokens bigint")
     return out.withColumnRenamed("key", key)
+
+
+def decode(rows: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``key`` and ``text`` of every row's token ids; null ids and unknown ones are an error of the row: its text is null."""
+    kind = rows.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = {r: t for t, r in Encoder.of(vocabulary).ranks.items()}
+        for batch in batches:
+            out: list[str | None] = []
+            for own in batch.column(1).to_pylist():
+                found = [tokens.get(i) for i in own] if own is not None else [None]
+                out.append(None if None in found else b"".join(found).decode("utf-8", "replace"))  # type: ignore[arg-type]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "text"])
+
+    return rows.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind.simpleString()}, text string").withColumnRenamed("key", key)

@@ -184,3 +184,14 @@ def pack(docs: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str =
         "items bigint, empty_items bigint, containers bigint, tokens bigint, fill double, lower_bound bigint",
     )
     return placed.unionByName(without).withColumnRenamed("key", key), about
+
+
+def audit(packed: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFrame:
+    """One row for each unique ``key`` of a packing: ``in_order`` (its pieces are 0, 1, ...), ``divided_right`` (all but the last are full) and ``fits`` (no container of its pieces is over the capacity).
+
+    The containers' loads are summed before they are joined; a container holds ``capacity`` items at most.
+    """
+    loads = packed.filter("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("load"))
+    each = packed.join(loads, "container", "left")
+    full = F.count_if(F.col("n_tokens") == capacity) >= F.count("*") - 1
+    return each.groupBy(key).agg((F.max("piece") == F.count("*") - 1).alias("in_order"), full.alias("divided_right"), F.bool_and(F.coalesce(F.col("load") <= capacity, F.col("n_tokens") == 0)).alias("fits"))

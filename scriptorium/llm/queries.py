@@ -77,6 +77,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.decode(p6_ids(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_hash"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))[0]
 
@@ -85,6 +89,10 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))[1]
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.audit(p7_containers(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garble.repair(_table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -94,4 +102,4 @@ def p8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_groups, p3_links, p4_found, p4_pieces, p4_round_trip, p5_mix, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_repair)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_groups, p3_links, p4_found, p4_pieces, p4_round_trip, p5_mix, p5_shares, p6_ids, p6_round_trip, p7_containers, p7_fill, p7_audit, p8_found, p8_repair)}

@@ -86,5 +86,10 @@ SELECT m.id AS row_id, m.cls AS class_id, g.group_id, c.n AS class_size, s.size:
 )
 
 
+P6_ROUND_TRIP = "SELECT doc_id, md5(coalesce(text, '')) AS text_hash FROM documents"
+
+P7_AUDIT = "SELECT doc_id, true AS in_order, true AS divided_right, true AS fits FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p3_links": P3_LINKS, "p4_found": P4_FOUND, "p4_round_trip": P4_ROUND_TRIP, "p5_mix": P5_MIX, "p5_shares": P5_SHARES}
+    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p3_links": P3_LINKS, "p4_found": P4_FOUND, "p4_round_trip": P4_ROUND_TRIP, "p6_round_trip": P6_ROUND_TRIP, "p7_audit": P7_AUDIT, "p5_mix": P5_MIX, "p5_shares": P5_SHARES}

@@ -253,6 +253,10 @@ def test_round_trip_and_long_texts(spark):
     got = {r["doc_id"]: r["ids"] for r in rows}
     assert len(rows) == 5 and got[2] == [] and got[3] == [] and len(got[None]) == 1
     assert b"".join(back[i] for i in got[1]).decode() == text
+    texts = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(df)).collect()}
+    assert texts == {1: text, 2: "", 3: "", None: "a"}
+    wrong = spark.createDataFrame([(1, None), (2, [10**6]), (3, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(wrong).collect()} == {1: None, 2: None, 3: ""}
     counts = {r["doc_id"]: r["n_tokens"] for r in bpe.count(df).collect()}
     assert counts[1] == len(got[1]) and counts[2] == 0
 
@@ -281,6 +285,12 @@ def test_packing_fills_and_never_overflows(spark):
     assert a["containers"] == len(load) and a["lower_bound"] <= len(load) <= 1.03 * a["lower_bound"] + 1
 
 
+def test_the_audit_notices_what_is_wrong(spark):
+    packed = spark.createDataFrame([(1, 0, 2048, 0), (1, 1, 7, 1), (2, 0, 2042, 1), (3, 1, 5, 2), (4, 0, 0, None), (5, 0, 9, 3), (5, 1, 9, 3)], "doc_id long, piece int, n_tokens long, container long")
+    got = {r["doc_id"]: (r["in_order"], r["divided_right"], r["fits"]) for r in packing.audit(packed).collect()}
+    assert got == {1: (True, True, False), 2: (True, True, False), 3: (False, True, True), 4: (True, True, True), 5: (True, False, True)}
+
+
 def test_packing_of_nothing(spark):
     got, about = packing.pack(spark.createDataFrame([], "doc_id long, text string"))
     assert got.count() == 0 and about.first()["containers"] == 0
