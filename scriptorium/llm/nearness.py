@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +122,41 @@ def _labels(trees: int, floor: int):
     return run
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted labels -> those that share a root with the one before or behind: with ``depth`` (values below the root that they share, -1 if no root), and ``edge``.
+
+    ``edge`` is 1 for the first label of the task, 2 for the last, 3 for an only one, which stay in any case; 0 else.
+    """
+    task = TaskContext.get().partitionId()  # type: ignore[union-attr]
+    names = ["root", "deep", "cls", "depth", "edge", "range"]
+    held: list[np.ndarray] | None = None  # the last label, whose next one isn't known yet
+    shared, emitted = -1, False
+
+    def out(columns: list[np.ndarray], depth: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        keep = np.flatnonzero((depth >= 0) | (edge > 0))
+        extra = (depth[keep].astype(np.int32), edge[keep].astype(np.int32), np.full(len(keep), task, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*(c[keep] for c in columns), *extra)], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(c) for c in zip(held, columns)]
+        root, deep = columns[0], columns[1].view(np.uint64)
+        apart = deep[:-1] ^ deep[1:]
+        same = sum(((apart >> np.uint64(64 - 8 * k)) == 0).astype(np.int64) for k in range(1, BELOW + 1))
+        behind = np.where(root[:-1] == root[1:], same, -1)
+        before = np.concatenate([[shared], behind])
+        edge = np.zeros(len(behind), dtype=np.int64)
+        if len(edge) and not emitted:
+            edge[0], emitted = 1, True
+        yield out([c[:-1] for c in columns], np.maximum(before[:-1], behind), edge)
+        held, shared = [c[-1:] for c in columns], int(before[-1])
+    if held is not None:
+        yield out(held, np.array([shared]), np.array([2 if emitted else 3]))
+
+
 def _alike(least: int):
     """Candidates (a, b, sketch_a, sketch_b) that agree in at least so many bytes of their sketches."""
 
@@ -147,11 +183,21 @@ class Forest:
         heads = self.members.filter("id = cls").select("id")
         self.reps = stage(signed.join(heads, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("cls"), "signature", "sketch"), "reps")
         release(signed)
-        # A subtree at the floor is sorted by the rest of the labels: its neighbours tell the longest prefix that a record shares with any.
-        in_order = Window.partitionBy("root").orderBy("deep", "cls")
-        labels = self.reps.select("cls", "signature").mapInArrow(_labels(trees, self.floor), "root bigint, deep bigint, cls bigint")
-        near = [self._shared(F.col("deep"), f("deep").over(in_order)) for f in (F.lag, F.lead)]
-        self.tries = stage(labels.withColumn("depth", F.greatest(*near)).filter("depth is not null"), "tries")
+        self.tries = self._sorted(self.reps.select("cls", "signature").mapInArrow(_labels(trees, self.floor), "root bigint, deep bigint, cls bigint"))
+
+    def _sorted(self, labels: DataFrame) -> DataFrame:
+        """``root``, ``deep``, ``cls`` and ``depth``, the longest prefix that a record shares with any other in a trie, of those that share one down to the floor.
+
+        The labels are sorted in ranges, so a subtree that a third of all records share is spread over many tasks; each
+        task reads off its neighbours, and only its first and last label are compared with those of the ranges beside it.
+        """
+        ranged = labels.repartitionByRange("root", "deep", "cls").sortWithinPartitions("root", "deep", "cls")
+        near = stage(ranged.mapInArrow(_neighbours, "root bigint, deep bigint, cls bigint, depth int, edge int, range int"), "neighbours")
+        in_order = Window.partitionBy(F.lit(0)).orderBy("range", "edge")  # two rows a task
+        beside = [F.when(F.col("edge").isin(*kinds) & (F.col("root") == f("root").over(in_order)), self._shared(F.col("deep"), f("deep").over(in_order))) for f, kinds in ((F.lag, (1, 3)), (F.lead, (2, 3)))]
+        own = F.when(F.col("depth") >= 0, F.col("depth") + self.floor)
+        edges = near.filter("edge > 0").withColumn("depth", F.greatest(own, *beside)).filter("depth is not null")
+        return near.filter("edge = 0").withColumn("depth", own).unionByName(edges).select("root", "deep", "cls", "depth")
 
     def _shared(self, a: Column, b: Column) -> Column:
         """How many values two labels of a subtree share; null where there is no second one."""

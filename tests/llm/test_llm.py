@@ -134,6 +134,25 @@ def test_prefixes_shorten_as_far_as_the_recall_needs(spark, monkeypatch):
     assert near == sorted(near, reverse=True) and near[-1] > depths[-1] == nearness.floor_depth(0.6, 48, 0.99)
 
 
+def test_neighbours_are_found_across_the_ranges(spark):
+    rng = random.Random(13)
+    rows = [(rng.randrange(6), rng.choice([0, 1, 256, -1, 1 << 40, rng.getrandbits(62)]), i) for i in range(300)] + [(7, 5, 900)]
+    forest = object.__new__(nearness.Forest)
+    forest.floor = 4
+    for n in (1, 40):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        got = {r["cls"]: r["depth"] for r in forest._sorted(spark.createDataFrame(rows, "root long, deep long, cls long")).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+        def shared(x, y):
+            return next((k for k in range(8) if (x ^ y) & (255 << (56 - 8 * k))), 8)
+
+        want = {c: 4 + max(shared(d & (2**64 - 1), e & (2**64 - 1)) for q, e, k in rows if q == r and k != c) for r, d, c in rows if sum(q == r for q, *_ in rows) > 1}
+        assert got == want
+
+
 def test_the_floor_lies_deeper_with_more_trees_and_less_recall():
     assert nearness.floor_depth(0.6, 48, 0.5) > nearness.floor_depth(0.6, 48, 0.99) >= 2
     assert nearness.floor_depth(0.6, 96, 0.99) > nearness.floor_depth(0.6, 24, 0.99)
