@@ -290,12 +290,13 @@ s AS (SELECT attribute.v AS attribute, genre.v AS genre, style.v AS style, (({_M
 SELECT attribute, genre, style, count(*) AS n_combinations, count(*) FILTER (score >= 0.6) AS n_kept, round(avg(score) FILTER (score >= 0.6), 6) AS mean_score FROM s GROUP BY ALL""")
 def combination_space(spark, d):
     plan = table(spark, d, "generation_plan")
-    dims = [plan.filter(F.col(c).isNotNull()).select(c).distinct().select(c, F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int").alias(f"h_{c}")) for c in ("topic", "attribute", "genre", "style", "writer_role", "constraint_text")]
-    score = sum(F.col(f"h_{c}") * k for c, k in _DIMENSIONS) % 1000 / F.lit(1000.0)
-    kept = F.when(F.col("score") >= 0.6, F.col("score"))
-    # The largest dimension is spread, so that what it is combined with is made in all tasks.
-    all_ = planning.combinations(dims[0].repartition("topic"), *dims[1:]).withColumn("score", score)
-    return all_.groupBy("attribute", "genre", "style").agg(F.count("*").alias("n_combinations"), F.count(kept).alias("n_kept"), F.round(F.avg(kept), 6).alias("mean_score"))
+    codes = {c: plan.filter(F.col(c).isNotNull()).select(c).distinct().select(c, (F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int") * k).alias(f"h_{c}")) for c, k in _DIMENSIONS}
+    # The score is a sum modulo 1,000, so the dimensions that the result doesn't name are combined first and counted by what they add.
+    named, others = ("attribute", "genre", "style"), ("topic", "writer_role", "constraint_text")
+    added = planning.combinations(*(codes[c] for c in others)).groupBy((sum(F.col(f"h_{c}") for c in others) % 1000).alias("added")).agg(F.count("*").alias("n"))  # 1,000 rows at most
+    all_ = planning.combinations(*(codes[c] for c in named), added).withColumn("score", (sum(F.col(f"h_{c}") for c in named) + F.col("added")) % 1000 / F.lit(1000.0))
+    kept = F.when(F.col("score") >= 0.6, F.col("n"))
+    return all_.groupBy(*named).agg(F.sum("n").alias("n_combinations"), F.coalesce(F.sum(kept), F.lit(0)).alias("n_kept"), F.round(F.try_divide(F.sum(F.when(F.col("score") >= 0.6, F.col("n") * F.col("score"))), F.sum(kept).cast("double")), 6).alias("mean_score"))
 
 
 @query(f"WITH m AS (SELECT DISTINCT source_model AS m FROM parallel_dataset WHERE source_model IS NOT NULL), r AS (SELECT p.plan_id, m.m, row_number() OVER (PARTITION BY p.plan_id ORDER BY md5(p.plan_id || '|' || m.m), m.m) AS rk FROM generation_plan p, m) SELECT plan_id, string_agg(m, '+' ORDER BY rk) AS pair FROM r WHERE rk <= 2 GROUP BY plan_id")
