@@ -1,6 +1,6 @@
 """All core queries, by importing the modules that define them."""
 
-from scriptorium.plans import curation, evaluation, formats, texts  # noqa: F401
+from scriptorium.plans import curation, evaluation, files, formats, texts  # noqa: F401
 from scriptorium.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -59,6 +59,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The address of a new folder below the shared one; it is removed by ``clear`` or when the interpreter ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}"
+    held = _staged.get(spark.sparkContext.applicationId)
+    if held is None:
+        held = _staged[spark.sparkContext.applicationId] = {}
+        atexit.register(clear, spark)
+    held[path] = None
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
@@ -66,13 +77,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     removed by ``release`` when nothing reads it any more, by ``clear``, or when the interpreter ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    held = _staged.get(spark.sparkContext.applicationId)
-    if held is None:
-        held = _staged[spark.sparkContext.applicationId] = {}
-        atexit.register(clear, spark)
-    held[path] = None
     return spark.read.schema(df.schema).parquet(path)
 
 

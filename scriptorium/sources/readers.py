@@ -31,10 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def csv(spark: SparkSession, path: str | list[str], schema: T.StructType, line_feeds: bool = True) -> DataFrame:
     """CSV with a header, quoted line feeds and doubled quotes; a leading byte order mark is dropped.
 
-    Columns are found by name, missing ones are null, unknown ones are left out. Fields may hold line feeds, so that a file is
+    Columns are found by name, missing ones are null, unknown ones are left out. An empty field is null, a quoted empty one an empty text. Fields may hold line feeds, so that a file is
     read by one task; where none does, ``line_feeds=False`` lets large files be split.
     """
-    raw = spark.read.csv(path, header=True, multiLine=line_feeds, escape='"', inferSchema=False)
+    # What isn't quoted and empty is null, what is quoted and empty is an empty text: the null mark is one that no text has.
+    raw = spark.read.csv(path, header=True, multiLine=line_feeds, escape='"', inferSchema=False, nullValue="\x00")
     names = {c.lstrip("﻿"): c for c in raw.columns}
     return raw.select(*[(F.col(f"`{names[f.name]}`").try_cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def csv(rows: DataFrame, path: str, mode: str = "overwrite", without: tuple[str, ...] = ()) -> None:
-    """CSV with a header in each file; columns of ``without`` are dropped."""
-    rows.drop(*without).write.mode(mode).csv(path, header=True, escape='"', quoteAll=False)
+    """CSV with a header in each file; columns of ``without`` are dropped. White space at the ends of texts stays, an empty text is no null."""
+    rows.drop(*without).write.mode(mode).csv(path, header=True, escape='"', quoteAll=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""')
 
 
 def append(rows: DataFrame, path: str, without: tuple[str, ...] = ("success", "error", "plan_id")) -> None:
