@@ -318,12 +318,12 @@ def _judge(weights, prior: float):
     return run
 
 
-def drawn(rows: DataFrame, sample: int) -> DataFrame:
-    """``h``, ``source``, ``text`` of at most ``sample`` of the ``rows`` (``key``, ``source``, ``text``): those of least hash of key and text.
+def drawn(rows: DataFrame, sample: int, n_rows: int) -> DataFrame:
+    """``h``, ``source``, ``text`` of at most ``sample`` of the ``n_rows`` ``rows`` (``key``, ``source``, ``text``): those of least hash of key and text.
 
     A repeated row counts once. Only hashes are ordered, and of these only half as many again as needed, wherever they lie; the texts stay where they are.
     """
-    part = min(1.0, 1.5 * sample / max(1, rows.count()))
+    part = min(1.0, 1.5 * sample / max(1, n_rows))
     hashed = rows.withColumn("h", F.xxhash64("key", "text")).filter(F.col("h") <= min(2**63 - 1, int(-(2**63) + part * 2**64)))
     last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     return hashed.filter(F.col("h") <= last if last is not None else F.lit(False)).groupBy("h").agg(F.first("source").alias("source"), F.first("text").alias("text"))
@@ -344,7 +344,7 @@ def detect(docs: DataFrame, key: str = "row_id", text: str = "text", source: str
     own = found.groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct("measure", "length_limit", "posterior")).alias("limits"))  # as many as are significant
     with_limits = lambda d: d.join(own, F.col("source").eqNullSafe(F.col("s")), "left")
 
-    taught = with_limits(drawn(rows, sample)).select("h", "text", "limits").mapInArrow(_teach, "features array<int>, cut double, real boolean").toArrow()  # 9 rows of some 30 numbers for each text of the sample
+    taught = with_limits(drawn(rows, sample, measured.count())).select("h", "text", "limits").mapInArrow(_teach, "features array<int>, cut double, real boolean").toArrow()  # 9 rows of some 30 numbers for each text of the sample
     weights = fit(taught["features"].to_pylist(), taught["cut"].to_numpy(), taught["real"].to_numpy())
     release(measured)
     judged = with_limits(rows).select("key", "source", "text", "limits").mapInArrow(_judge(spark.sparkContext.broadcast(weights), prior), f"key {kind}, source string, log_odds double, cut boolean")

@@ -508,9 +508,9 @@ def test_copies_of_a_text_are_sampled_one_by_one(spark):
     rng = random.Random(8)
     copy = sentence(rng) * 3
     rows = [(i, "s", copy if i % 3 == 0 else sentence(rng) + sentence(rng)) for i in range(1500)] + [(0, "s", copy)] * 500
-    got = cutoff.drawn(spark.createDataFrame(rows, "key long, source string, text string"), 300).collect()
+    got = cutoff.drawn(spark.createDataFrame(rows, "key long, source string, text string"), 300, len(rows)).collect()
     assert 60 < sum(r["text"] == copy for r in got) < 140 and len(got) == 300
-    assert cutoff.drawn(spark.createDataFrame(rows[:0], "key long, source string, text string"), 300).count() == 0
+    assert cutoff.drawn(spark.createDataFrame(rows[:0], "key long, source string, text string"), 300, 0).count() == 0
 
 
 def test_what_is_appended_makes_no_limits_of_its_own(spark):
