@@ -94,7 +94,7 @@ def _agreeing(r: int) -> int:
 
 
 def _segments(mine, others, threshold: float):
-    """cls, content -> the segments: cls, r (distinct runs), segment (hash of a run), at (its first position), near (comes first even if this is the shorter text)."""
+    """cls, content -> the segments: cls, r (distinct runs), segment (hash of a run), at (its first position), place (in the order of the text's runs, from 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = mine.value, others.value
@@ -120,10 +120,9 @@ def _segments(mine, others, threshold: float):
                 every = h[begin:end]
                 sort = np.argsort(every, kind="stable")
                 at = sort[np.searchsorted(every[sort], kept)]
-                near = np.arange(n) < _first(r, 2 * threshold / (1 + threshold)) - alone
-                out.append((np.full(n, i, np.int64), np.full(n, r, np.int32), kept.view(np.int64), at.astype(np.int32), near))
+                out.append((np.full(n, i, np.int64), np.full(n, r, np.int32), kept.view(np.int64), at.astype(np.int32), np.arange(alone, alone + n, dtype=np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "r", "segment", "at", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "r", "segment", "at", "place"])
 
     return run
 
@@ -228,13 +227,15 @@ def links(train: DataFrame, evaluation: DataFrame, threshold: float = 0.6, cover
     buckets = max(PIECE, min(BUCKETS_MOST, 1 << (2 * size - 1).bit_length()))
     eval_sketch = spark.sparkContext.broadcast(_sketch(eval_texts, buckets))
     train_sketch = spark.sparkContext.broadcast(_sketch(train_texts, buckets, eval_sketch))
-    schema = "cls bigint, r int, segment bigint, at int, near boolean"
-    left = eval_texts.select("id", "content").mapInArrow(_segments(eval_sketch, train_sketch, threshold), schema).toDF("a", "r_a", "segment", "at_a", "near_a")
-    right = train_texts.select("id", "content").mapInArrow(_segments(eval_sketch, train_sketch, threshold), schema).toDF("b", "r_b", "segment", "at_b", "near_b")
+    schema = "cls bigint, r int, segment bigint, at int, place int"
+    left = eval_texts.select("id", "content").mapInArrow(_segments(eval_sketch, train_sketch, threshold), schema).toDF("a", "r_a", "segment", "at_a", "place_a")
+    right = train_texts.select("id", "content").mapInArrow(_segments(eval_sketch, train_sketch, threshold), schema).toDF("b", "r_b", "segment", "at_b", "place_b")
     # With moved parts every position is allowed, as long as the fewer runs can be enough of the more.
     met = left.join(right, "segment").filter((F.col("r_a") >= F.col("r_b") * threshold) & (F.col("r_b") >= F.col("r_a") * threshold))
-    met = met.filter(((F.col("r_a") <= F.col("r_b")) & F.col("near_a")) | ((F.col("r_b") <= F.col("r_a")) & F.col("near_b")))
+    # Both sizes tell how much a case has in common, and so among which of either's first runs the agreeing ones are.
     least = F.greatest(F.lit(1), F.floor(F.least("r_a", "r_b") * F.lit(AGREE)).cast("int"))
+    common = F.ceil((F.col("r_a") + F.col("r_b")) * (threshold / (1 + threshold)) - 1e-9)
+    met = met.filter((F.col("place_a") < F.col("r_a") - common + least) & (F.col("place_b") < F.col("r_b") - common + least))
     met = met.groupBy("a", "b", least.alias("least")).agg(F.collect_set(F.col("at_b") - F.col("at_a")).alias("diagonals"), F.count("*").alias("agreeing"))
     met = met.filter("agreeing >= least").drop("least", "agreeing")
     met = stage(met, "met")
